@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,8 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once a context: they need not have it installed."""
+    context = spark.sparkContext
+    if not hasattr(context, "_llm_code"):
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="llm-code-")  # the driver's own, from which it serves the archive as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shutil.copytree(package, f"{folder}/code/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}_code", "zip", f"{folder}/code"))
+        context._llm_code = True
+
+
 def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of so few rows that a batch of long texts stays small. Holds for the session."""
+    """Arrow batches of so few rows that a batch of long texts stays small. Holds for the session; ships the code that needs it."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, quality_rules, simhash
+from . import chat, exact_dedup, langid, mixing, quality_model, quality_rules, sentencepiece_viterbi, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,40 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "copy", "mix_key", "text")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of encoded lengths of documents, with the sums that answer any context limit."""
+    return token_counts.length_table(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written to archives and read back."""
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, and that of chat.planted(), logged as events, folded, rendered and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
+    return chat.digests(chat.render(chat.fold(chat.events(rows))))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and whether they decode to its text."""
+    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
@@ -32,7 +62,51 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op7_exact_dedup, op9_simhash, op10_quality_rules)
-}
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_token_counts, op3_warc, op4_language_id, op5_chat, op6_sentencepiece,
+        op7_exact_dedup, op8_quality_model, op9_simhash, op10_quality_rules,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op1_mix_sources"] = """
+WITH sums AS (SELECT source, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY source),
+rates AS (
+  SELECT source, CASE WHEN chars > 0 THEN 1.0::DOUBLE * (SELECT sum(chars) FROM sums) / (chars * (SELECT count(*) FROM sums WHERE chars > 0)::DOUBLE) ELSE 0 END AS rate FROM sums),
+cdf AS (
+  SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
+  FROM rates, range(0, 400) AS r(k) WHERE rate > 0),
+drawn AS (
+  SELECT doc_id, source, text, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+times AS (SELECT d.doc_id, d.source, d.text, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.below <= d.u) AS n FROM drawn d),
+copies AS (SELECT doc_id, source, text, unnest(range(1, n + 1))::INT AS copy FROM times)
+SELECT doc_id, source, copy, ('0x' || substr(md5('mix-1|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS mix_key, text FROM copies"""
+
+ORACLE_SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
+
+_ESCAPED = "replace(t, '\\', '\\\\')"
+for _c in chat.CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\.{_c[1:]}')"
+ORACLE_SQL["op5_chat"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length({_ESCAPED}) + 3 + 4 + 2 + CASE r WHEN 'user' THEN 6 WHEN 'assistant' THEN 7 WHEN 'system' THEN 7 ELSE 7 + length(r) END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+ORACLE_SQL["op7_exact_dedup"] = """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
+g AS (
+  SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g"""
