@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as s
-from ..operators import relational as r, updates, validation
+from ..operators import compositing, relational as r, updates, validation
+from ..shipping import ship_code
+from ..sources import animated, layered, reader, timeline_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -305,9 +310,12 @@ def duration_update(spark, sf_dir):
 _PATHS = ("a/b.png", "/abs", "../up", "a//b", "a/./b", "C:/x", "dir/", "", "a\\b", "x/..", "http://h/p", "ok")
 
 
-@query(f"""SELECT page_id, p AS path, p = '' OR p LIKE '/%' OR p LIKE '%\\%' OR regexp_matches(p, '^[A-Za-z][A-Za-z0-9+.-]*:')
-  OR regexp_matches(regexp_replace(p, '/$', ''), '(^|/)\\.{{0,2}}(/|$)') AS unsafe
-FROM (SELECT page_id, {[x for x in _PATHS]!r}[(page_id % {len(_PATHS)} + 1)::INT] AS p FROM pages)""".replace("'a\\\\\\\\b'", "'a\\\\b'"))
+_PATHS_SQL = "[" + ", ".join(f"'{p}'" for p in _PATHS) + "]"
+
+
+@query(f"""SELECT page_id, p AS path, p = '' OR p LIKE '/%' OR contains(p, '{chr(92)}') OR regexp_matches(p, '^[A-Za-z][A-Za-z0-9+.-]*:')
+  OR regexp_matches(regexp_replace(p, '/$', ''), '(^|/)[.]{{0,2}}(/|$)') AS unsafe
+FROM (SELECT page_id, {_PATHS_SQL}[(page_id % {len(_PATHS)} + 1)::INT] AS p FROM pages)""")
 def path_safety(spark, sf_dir):
     path = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("page_id") % len(_PATHS) + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), s.unsafe_path(path).alias("unsafe"))
@@ -367,3 +375,85 @@ def frame_dimensions(spark, sf_dir):
 def top_priority(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     return rows.groupBy("user_id").agg(F.min_by("event_id", F.struct((-F.floor("value")).alias("p"), "event_id")).alias("top_event"), F.max(F.floor("value")).cast("bigint").alias("priority"))
+
+
+def _on_text(spark: SparkSession, sf_dir: str, f, kind: str) -> DataFrame:
+    """doc_id, value: f of the UTF-8 bytes of each text, run on Arrow batches."""
+    ship_code(spark)
+
+    @F.pandas_udf(kind)
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: f((t or "").encode()))
+
+    return table(spark, sf_dir, "documents").select("doc_id", run("text").alias("value"))
+
+
+@query()
+def crc32_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("value"))
+
+
+@query()
+def adler32_bytes(spark, sf_dir):
+    return _on_text(spark, sf_dir, zlib.adler32, "bigint")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS value FROM documents")
+def lzw_roundtrip(spark, sf_dir):
+    """What the GIF decoder makes of each text's code stream."""
+    return _on_text(spark, sf_dir, lambda b: hashlib.md5(animated.lzw_decode(animated.lzw_encode(b, 8), 8, len(b))).hexdigest(), "string")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS value FROM documents")
+def packbits_roundtrip(spark, sf_dir):
+    return _on_text(spark, sf_dir, lambda b: hashlib.md5(layered.unpack_bits(layered.pack_bits(b), len(b))).hexdigest(), "string")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS value FROM documents")
+def zlib_store(spark, sf_dir):
+    """What zlib makes of each text's stream of stored blocks."""
+    return _on_text(spark, sf_dir, lambda b: hashlib.md5(zlib.decompress(timeline_file.store(b))).hexdigest(), "string")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A canvas of 8 x 8 a user, on which the user's events draw rectangles of one colour."""
+    e = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    left, top = F.when(F.col("n") == 0, 0).otherwise(F.col("event_id") % 5).cast("int"), F.when(F.col("n") == 0, 0).otherwise(F.col("event_id") % 3).cast("int")
+    side = F.when(F.col("n") == 0, 8).otherwise(F.col("event_id") % 4 + 1).cast("int")
+    colour = F.concat(F.lpad(F.hex(F.col("event_id") % 256), 2, "0"), F.lpad(F.hex(F.col("user_id") % 256), 2, "0"), F.lit("40"), F.lpad(F.hex(F.floor(F.col("value")).cast("long") % 256), 2, "0"))
+    return e.select(
+        F.col("user_id").cast("string").alias("project_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("n").cast("int").alias("frame_index"),
+        left.alias("left"), top.alias("top"), side.alias("w"), side.alias("h"), F.unhex(F.repeat(colour, side * side)).alias("rgba"),
+    )
+
+
+def _composite(spark, sf_dir, dispose, blend) -> DataFrame:
+    rows = _frames(spark, sf_dir).withColumn("dispose", dispose).withColumn("blend", F.lit(blend)).withColumn("background", F.unhex(F.lit("102030FF")))
+    return compositing.composite(rows).select("project_id", "frame_index", F.crc32("rgba").alias("checksum"))
+
+
+@query()
+def gif_composite(spark, sf_dir):
+    return _composite(spark, sf_dir, F.element_at(F.array(*map(F.lit, ("keep", "clear", "background", "previous"))), F.col("frame_index") % 4 + 1), False)
+
+
+@query()
+def apng_composite(spark, sf_dir):
+    return _composite(spark, sf_dir, F.element_at(F.array(*map(F.lit, ("keep", "clear", "previous"))), F.col("frame_index") % 3 + 1), True)
+
+
+@query()
+def document_write(spark, sf_dir):
+    """The size and checksum of the timeline document that each user's composited events make."""
+    cels = compositing.composite(_frames(spark, sf_dir).select("*", F.lit("keep").alias("dispose"), F.lit(True).alias("blend"), F.lit(None).cast("binary").alias("background")))
+    own = ["project_id"]
+    frames = cels.select("project_id", "frame_index", (F.col("frame_index") % 500 + 1).alias("duration_ms"))
+    projects = frames.select(*own).distinct()
+    model = {
+        "projects": projects.select("project_id", F.lit("events").alias("source_format"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit("rgba").alias("color_mode")),
+        "frames": frames,
+        "frame_tags": projects.select("project_id", F.lit(0).alias("tag_index"), F.lit("all").alias("name"), F.lit(0).alias("from_frame"), F.lit(0).alias("to_frame"), F.lit("forward").alias("direction")),
+        "layers": projects.select("project_id", F.lit(0).alias("layer_index"), F.lit("main").alias("layer_id"), F.lit("Main").alias("name"), F.lit(True).alias("visible"), F.lit(255).alias("opacity")),
+        "cels": cels.select("project_id", F.lit(0).alias("layer_index"), "frame_index", F.lit(0).alias("x"), F.lit(0).alias("y"), "w", "h", F.lit("srgb").alias("color_space"), "rgba"),
+    }
+    return reader.export(model).select("project_id", F.octet_length("content").alias("size"), F.crc32("content").alias("checksum"), "error")
