@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..shipping import ship_code
+
 #: ASCII white space [\x20\x09-\x0D], the separators of words.
 SPACES = " \t\n\x0b\x0c\r"
 #: A key with over 1 / HOT_SHARE of all rows counts as hot; so there are fewer than HOT_SHARE hot keys.
@@ -30,26 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get().rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; release() deletes what is there."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_llm_scratch", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that operators wrote for this context so far, and how many. Results read from them must be done with."""
+    made = spark.sparkContext.__dict__.pop("_llm_scratch", [])
+    for at in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: its lineage ends, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python workers, once a context: they need not have it installed."""
-    context = spark.sparkContext
-    if not hasattr(context, "_llm_code"):
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="llm-code-")  # the driver's own, from which it serves the archive as long as it lives
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        shutil.copytree(package, f"{folder}/code/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}_code", "zip", f"{folder}/code"))
-        context._llm_code = True
-
-
 def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of so few rows that a batch of long texts stays small. Holds for the session; ships the code that needs it."""
     ship_code(spark)

@@ -6,11 +6,9 @@ that stays and the number of rows. Hits (digests of several rows) are verified b
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, SPACES, cut, join_classes, one_each, shared_dir, without
+from .common import BROADCAST_ROWS, SPACES, cut, join_classes, one_each, scratch, without
 
 RUN = "digest binary, n_cp int, doc_id {id}"
 
@@ -24,7 +22,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, id_type: str = "bigint", path: str | None = None, digest_bits: int = 256):
         self.spark, self.bytes, self.schema = spark, digest_bits // 8, RUN.format(id=id_type)
-        self.path = path or f"{shared_dir(spark)}/lsm-{uuid.uuid4().hex}"
+        self.path = path or scratch(spark, "lsm")
         self.runs: list[str] = []
 
     def digest(self, text: Column) -> Column:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, cut, join_classes, shared_dir
+from .common import arrow_batches, cut, join_classes, scratch
 
 #: The magic numbers of a skippable frame with a dictionary, and of a Zstandard frame.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
@@ -161,7 +160,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
     repeat an id and a payload are of one type. An empty table leaves a folder without archives. A task that runs again
     writes the same files again; a file appears under its name when it is whole."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sample = [r[0].encode() for r in pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).select("html").limit(SAMPLES).collect()]
     dictionary = train_dictionary(sample)
