@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import scalars as s
 from ..operators import compositing, relational as r, updates, validation
 from ..shipping import ship_code
-from ..sources import animated, layered, reader, timeline_file
+from ..sources import animated, convert, layered, reader, timeline_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -163,9 +163,10 @@ def large_file_warning(spark, sf_dir):
     return rows.select("source", "total", "files", large.alias("large"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 > 0 AND n_chars > 0 AND 4::HUGEINT * n_chars * n_chars * (doc_id % 7) * 1000003 <= 9007199254740991 THEN 4 * n_chars * n_chars * (doc_id % 7) * 1000003 END::BIGINT AS bytes FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 > 0 AND n_chars > 0 AND 4::HUGEINT * n_chars * n_chars * (doc_id % 7) * 1000003 <= 9007199254740991 THEN 4 * n_chars * n_chars * (doc_id % 7) * 1000003 ELSE -1 END::BIGINT AS bytes FROM documents")
 def decoded_bytes_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", s.decoded_bytes(F.col("n_chars"), F.col("n_chars"), F.col("doc_id") % 7, F.lit(1000003)).alias("bytes"))
+    size = s.decoded_bytes(F.col("n_chars"), F.col("n_chars"), F.col("doc_id") % 7, F.lit(1000003))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(size, F.lit(-1)).alias("bytes"))
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS frame_index FROM conversations WHERE role <> 'system'")
@@ -457,3 +458,54 @@ def document_write(spark, sf_dir):
         "cels": cels.select("project_id", F.lit(0).alias("layer_index"), "frame_index", F.lit(0).alias("x"), F.lit(0).alias("y"), "w", "h", F.lit("srgb").alias("color_space"), "rgba"),
     }
     return reader.export(model).select("project_id", F.octet_length("content").alias("size"), F.crc32("content").alias("checksum"), "error")
+
+
+@query("""SELECT user_id, count(*) AS files, CASE WHEN NOT (count(*) FILTER (k IN ('png')) = 1 AND count(*) FILTER (k IN ('json')) = 1 AND count(*) = 2) THEN 'spritesheet-json takes 1 .png, 1 .json' END AS error
+FROM (SELECT event_id // 2 AS user_id, CASE event_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'json' ELSE 'png' END AS k FROM events) GROUP BY user_id""")
+def source_selection(spark, sf_dir):
+    i = F.col("event_id")
+    files = table(spark, sf_dir, "events").select(F.floor(i / 2).alias("user_id"), F.when(i % 3 == 1, "json").otherwise("png").alias("kind"))
+    return convert.selections(files, "spritesheet-json", "user_id")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, coalesce(role, 'Layer ' || (turn + 1)) AS name, text FROM conversations)
+SELECT conv_id, turn, name, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > 0 AS valid FROM n""")
+def layer_names(spark, sf_dir):
+    name = s.layer_name(F.col("role"), F.col("turn"))
+    letters = F.regexp_replace("text", "[^a-zA-Z]", "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name"), s.valid_name(letters).alias("valid"))
+
+
+@query("SELECT p_partkey, ceil(p_size / 64.0)::INT AS tiles, lower(regexp_replace(p_name, '[^a-zA-Z0-9]+', '-', 'g')) AS slug FROM part WHERE p_name ~ '^[a-zA-Z].*[a-zA-Z]$'")
+def tiles_and_slugs(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where(F.col("p_name").rlike("^[a-zA-Z].*[a-zA-Z]$"))
+    return rows.select("p_partkey", s.tile_limit(F.col("p_size")).alias("tiles"), s.slug(F.col("p_name")).alias("slug"))
+
+
+@query("""SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY part, o_orderkey) AS chunks FROM (
+  SELECT o_custkey, o_orderkey, 0 AS part FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderstatus <> 'F') GROUP BY o_custkey""")
+def ordered_concat(spark, sf_dir):
+    """Chunks of two kinds, those of the first kind before the others, joined in order."""
+    orders = table(spark, sf_dir, "orders")
+    part = lambda where, n: orders.where(where).select("o_custkey", F.lit(n).alias("part"), "o_orderkey")
+    parts = F.array_sort(F.collect_list(F.struct("part", "o_orderkey")))
+    rows = part("o_orderstatus = 'F'", 0).unionByName(part("o_orderstatus <> 'F'", 1))
+    return rows.groupBy("o_custkey").agg(F.concat_ws(",", F.transform(parts, lambda x: x["o_orderkey"].cast("string"))).alias("chunks"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'group' WHEN o_custkey % 5 = 0 THEN 'text' WHEN o_orderstatus = 'O' THEN 'blend' END AS code FROM orders)
+SELECT code, count(*) AS n FROM v WHERE code IS NOT NULL GROUP BY code""")
+def feature_ladder(spark, sf_dir):
+    """The first feature, in the order of refusal, that stops each document."""
+    rules = [("group", F.col("o_custkey") % 7 == 0), ("text", F.col("o_custkey") % 5 == 0), ("blend", F.col("o_orderstatus") == "O")]
+    codes = F.filter(F.array(*[F.when(c, F.lit(code)) for code, c in rules]), lambda x: x.isNotNull())
+    return table(spark, sf_dir, "orders").select(F.get(codes, F.lit(0)).alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT conv_id, min(turn) AS a, max(turn) AS b, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, NOT (a >= 0 AND a <= b) AS bad_range, b NOT IN (SELECT turn FROM conversations) AS bad_reference FROM c""")
+def tag_checks(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    tags = rows.groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"))
+    known = rows.select(F.col("turn").alias("b")).distinct().withColumn("known", F.lit(True))
+    return tags.join(known, "b", "left").select("conv_id", (~((F.col("a") >= 0) & (F.col("a") <= F.col("b")))).alias("bad_range"), F.col("known").isNull().alias("bad_reference"))

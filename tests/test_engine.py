@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import scalars as s, schemas
 from lumaframe.operators import compositing, geometry, relational as r, updates, validation
-from lumaframe.sources import datasource, reader, timeline_file
+from lumaframe.sources import convert, datasource, reader, timeline_file
 from lumaframe.sources.document import Cel, Document, Layer, Tag
 from lumaframe.streaming import ingest
 
@@ -248,3 +248,20 @@ def test_ranges(spark):
 
 def test_struct_sizes():
     assert timeline_file.HEADER.size == 128 and timeline_file.FRAME.size == 16 and struct.calcsize("<HHHHHHB3xH") == 18
+
+
+def test_modes(spark, folder):
+    files = reader.sources(spark, str(folder))
+    for mode, want in (("gif", {"a.gif": None, "bad.gif": "unsupported-version"}), ("krita", {"e.kra": None}), ("apng", {"b.APNG": None, "i.png": "not-animated"})):
+        tables = reader.tables(convert.convert(files, mode))
+        got = {name(x.project_id): None for x in tables["projects"].collect()} | {name(x.project_id): x.code for x in tables["import_errors"].collect()}
+        assert got == want
+    rows = [("a", "png"), ("a", "png"), ("b", "png"), ("b", "json"), ("c", None), ("d", "gif")]
+    df = spark.createDataFrame(rows, "project_id string, kind string")
+    ok = lambda mode: {x.project_id for x in convert.selections(df, mode).where("error is null").collect()}
+    assert ok("png-sequence") == {"a"} and ok("spritesheet-json") == {"b"} and ok("gif") == {"d"} and ok("psd") == set()
+
+
+def test_summary(model):
+    got = {name(x.project_id): tuple(x[1:]) for x in convert.summary(model).collect()}
+    assert got["d.pxo"] == (2, 2, 4, 350) and got["c.ora"] == (1, 1, 1, 100)
