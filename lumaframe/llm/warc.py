@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, cut, join_classes, scratch
+from .common import BROADCAST_ROWS, arrow_batches, cut, join_classes, scratch
 
 #: The magic numbers of a skippable frame with a dictionary, and of a Zstandard frame.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
@@ -26,6 +26,8 @@ DICTIONARY, SAMPLES, SAMPLE_BYTES = 16_384, 400, 65_536
 #: An archive is closed when it has this many bytes.
 ARCHIVE_BYTES, LEVEL, SLICE = 64 << 20, 3, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
+#: The table of archives that are whole, in a folder that listings of data leave out.
+MANIFEST = "_archives"
 
 
 class WarcError(ValueError):
@@ -157,8 +159,9 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
     """Writes a record per row of pages (page_id, url, html); returns the folder of the archives.
 
     Null html is an empty payload, a null url an empty one. Rows with a null id are responses with an empty id; rows that
-    repeat an id and a payload are of one type. An empty table leaves a folder without archives. A task that runs again
-    writes the same files again; a file appears under its name when it is whole."""
+    repeat an id and a payload are of one type. An empty table leaves a folder without archives. Every attempt of a task writes
+    files of its own, and Spark commits the names of those that succeeded to the manifest: what a lost executor or a
+    speculative attempt leaves behind is never read."""
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -176,39 +179,30 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
         from pyspark import TaskContext
 
         fs, base = pafs.FileSystem.from_uri(target)
-        task, n, writer = TaskContext.get(), 0, None
-
-        def close():
-            nonlocal writer
-            writer.out.close()
-            fs.move(f"{base}/{writer.name}.part{task.taskAttemptId()}", f"{base}/{writer.name}")
-            done.append(writer.name)
-            writer = None
-
-        done: list[str] = []
+        task, done, writer = TaskContext.get(), [], None
         for b in batches:
             for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if writer is None:
-                    name = f"part-{task.partitionId():05d}-{n:04d}.warc.zst"
-                    writer = ArchiveWriter(fs.open_output_stream(f"{base}/{name}.part{task.taskAttemptId()}"), dictionary)
-                    writer.name, n = name, n + 1
+                    done.append(f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst")
+                    writer = ArchiveWriter(fs.open_output_stream(f"{base}/{done[-1]}", compression=None), dictionary)
                 writer.write(record(page_id, url, (html or "").encode(), "response" if refers_to is None else "revisit", refers_to))
                 if writer.size >= archive_bytes:
-                    close()
+                    writer.out.close()
+                    writer = None
         if writer:
-            close()
+            writer.out.close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["name"])
 
     arrow_batches(spark)
-    rows.mapInArrow(run, "name string").count()
+    rows.mapInArrow(run, "name string").write.parquet(f"{path}/{MANIFEST}")
     return path
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives under a folder: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
+    """The records of all archives of a folder: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
-    A record that fails validation fails the read. payload is null for revisits, and for all if payloads is false."""
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+    Where the folder has a manifest, only archives that it names are read. A record that fails validation fails the read.
+    payload is null for revisits, and for all if payloads is false."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,5 +219,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield pa.RecordBatch.from_pylist(some, schema)
 
     arrow_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary").select(*names)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if manifest.getFileSystem(spark._jsc.hadoopConfiguration()).exists(manifest):
+        names = spark.read.schema("name string").parquet(f"{path}/{MANIFEST}")
+        few = names.count() <= BROADCAST_ROWS
+        files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(names) if few else names, "name", "left_semi")
+    files = files.select("content")
+    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")

@@ -32,6 +32,13 @@ def test_archives(spark, tmp_path):
     assert all(bytes(r.payload) == dict((x, (h or "").encode()) for x, _, h in rows)[r.page_id] for r in got if r.record_type == "response")
 
 
+def test_archives_of_failed_attempts_are_not_read(spark, tmp_path):
+    path = warc.write_archives(pages(spark)[1], str(tmp_path / "archives"))
+    whole = next((tmp_path / "archives").glob("*.warc.zst"))
+    (tmp_path / "archives/part-00000-99-0000.warc.zst").write_bytes(whole.read_bytes()[:-3])
+    assert warc.read_archives(spark, path).count() == 10
+
+
 def test_no_pages(spark, tmp_path):
     empty = spark.createDataFrame([], PAGES)
     assert warc.read_archives(spark, warc.write_archives(empty, str(tmp_path / "none"))).count() == 0
