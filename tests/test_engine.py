@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import scalars as s, schemas
 from lumaframe.operators import compositing, geometry, relational as r, updates, validation
-from lumaframe.sources import convert, datasource, reader, timeline_file
+from lumaframe.sources import convert, datasource, png, reader, timeline_file
 from lumaframe.sources.document import Cel, Document, Layer, Tag
 from lumaframe.streaming import ingest
 
@@ -25,7 +25,7 @@ def folder(tmp_path_factory):
     files = {
         "a.gif": e.gif(2, 1, [(0, 0, 0), (255, 0, 0)], [(0, 0, 2, 1, [1, 0], 7, 0, None), (0, 0, 1, 1, [0], 0, 0, None)]), "b.APNG": e.apng(2, 2, [(0, 0, A, 1, 10, 0, 0)]), "c.ora": e.ora([('x="1" y="-1"', A)]),
         "d.pxo": e.pxo(e.pxo_json()), "e.kra": e.kra([('opacity="9"', A)]), "f.psd": e.psd([("l", 0, 0, A, 255, False, b"norm", True, [])]), "g.piskel": e.piskel([e.piskel_layer([[0]], A)]).encode(),
-        "h.pixil": e.pixil([(75, [("u", "Ink", 1, A)])]).encode(), "bad.gif": b"GIF87a", "odd.txt": b"x", "dir/i.png": __import__("lumaframe.sources.png", fromlist=["png"]).encode(A),
+        "h.pixil": e.pixil([(75, [("u", "Ink", 1, A)])]).encode(), "bad.gif": b"GIF87a", "odd.txt": b"x", "dir/i.png": png.encode(A),
     }
     for name, data in files.items():
         (at / name).parent.mkdir(exist_ok=True)
@@ -149,8 +149,6 @@ def test_source_format(spark, folder, model):
 
 
 def test_sequences_grids_and_atlases(spark, tmp_path):
-    from lumaframe.sources import png
-
     for i, image in enumerate((A, A[::-1])):
         (tmp_path / f"f{i}.png").write_bytes(png.encode(image))
     files = reader.sources(spark, str(tmp_path))
