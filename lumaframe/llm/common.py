@@ -18,12 +18,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset and all is one machine."""
     context = spark.sparkContext
     if at := context.getConf().get("spark.checkpoint.dir"):
         return at.rstrip("/")
     found = context._jsc.sc().getCheckpointDir()
     if found.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="llm-shared-"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get().rstrip("/")

@@ -133,3 +133,9 @@ def test_queries_against_sql(spark, folder, name):
 def test_queries_return_a_row_per_document(spark, folder, name):
     n = QUERIES[name](spark, folder).count()
     assert n == spark.read.parquet(f"{folder}/documents.parquet").count() or (name.startswith("op2_") and n)
+
+
+@pytest.mark.parametrize("name", ["op7_exact_dedup", "op10_quality_rules"])
+def test_native_plans_have_no_python(spark, folder, name):
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
