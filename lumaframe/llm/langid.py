@@ -175,7 +175,7 @@ def identify(docs: DataFrame, **columns) -> DataFrame:
 
 
 #: A document whose largest proportion is under this is rejected by keep_identified().
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **columns) -> DataFrame:
