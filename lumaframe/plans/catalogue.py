@@ -6,13 +6,15 @@ import hashlib
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as s
 from ..operators import compositing, relational as r, updates, validation
 from ..shipping import ship_code
-from ..sources import animated, convert, layered, reader, timeline_file
+from ..sources import animated, convert, layered, png, reader, sheets, timeline_file
+from ..sources.document import main_layer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -509,3 +511,44 @@ def tag_checks(spark, sf_dir):
     tags = rows.groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"))
     known = rows.select(F.col("turn").alias("b")).distinct().withColumn("known", F.lit(True))
     return tags.join(known, "b", "left").select("conv_id", (~((F.col("a") >= 0) & (F.col("a") <= F.col("b")))).alias("bad_range"), F.col("known").isNull().alias("bad_reference"))
+
+
+def _as_image(data: bytes) -> np.ndarray:
+    """Bytes as the pixels of an image 16 wide; the first four hold how many there are."""
+    held = len(data).to_bytes(4, "little") + data
+    return np.frombuffer(held.ljust(-(-len(held) // 64) * 64, b"\0"), np.uint8).reshape(-1, 16, 4)
+
+
+def _from_image(pixels: np.ndarray) -> bytes:
+    held = pixels.tobytes()
+    return held[4 : 4 + int.from_bytes(held[:4], "little")]
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS value FROM documents")
+def png_roundtrip(spark, sf_dir):
+    """What the PNG decoder makes of each text's bytes written as an image."""
+    return _on_text(spark, sf_dir, lambda b: hashlib.md5(_from_image(png.decode(png.encode(_as_image(b))))).hexdigest(), "string")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS value FROM documents")
+def timeline_roundtrip(spark, sf_dir):
+    """What is read back of each text's bytes as the only cel of a timeline document."""
+
+    def run(b: bytes) -> str:
+        image = _as_image(b)
+        doc = timeline_file.read(timeline_file.write(main_layer(image.shape[1], image.shape[0], [100], [image])))
+        return hashlib.md5(_from_image(doc.layers[0].cels[0].pixels)).hexdigest()
+
+    return _on_text(spark, sf_dir, run, "string")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS value FROM documents")
+def sheet_roundtrip(spark, sf_dir):
+    """Each text's bytes as a sheet, cut by a grid of 4 x 1 and put together from the frames."""
+
+    def run(b: bytes) -> str:
+        image = _as_image(b)
+        doc = sheets.grid_sheet(image, 4, image.shape[0], 1, 4)
+        return hashlib.md5(_from_image(np.concatenate([c.pixels for c in doc.layers[0].cels], axis=1))).hexdigest()
+
+    return _on_text(spark, sf_dir, run, "string")
