@@ -19,9 +19,9 @@ from .common import arrow_batches, cut, join_classes, one_each, without
 
 RADIUS, SHINGLE = 4, 4
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
-TILE_LEAST, TILE_MOST, TILES = 2048, 65536, 48
+TILE_LEAST, TILE_MOST, TILES = 2048, 262_144, 48
 #: Comparisons made at once in numpy, and shingles whose bits are counted at once.
-BLOCK, CHUNK = 1 << 18, 1 << 14
+BLOCK, CHUNK = 1 << 16, 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
