@@ -24,8 +24,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BASE, LENGTH_KEY = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << 40
-#: Words longer than LONG are merged one by one; words kept in a worker's cache; words that advance together at most.
-LONG, CACHE, TOGETHER = 400, 300_000, 8192
+#: Words longer than LONG are merged one by one; words kept in a worker's cache; words that advance together at
+#: most; bytes of text whose words are met together.
+LONG, CACHE, TOGETHER, TOGETHER_BYTES = 400, 500_000, 8192, 4 << 20
 #: Sizes of the filter before the sorted keys, and of the table of seams between two pieces.
 FILTER_BITS, SEAM_BITS = 20, 20
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -39,6 +40,8 @@ class Pieces:
         self.n = len(pieces)
         self.pieces = pieces
         self.bytes = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(SPACE, " ").encode() if k == "normal" else b"" for p, k in zip(pieces, kinds)]
+        sizes = np.array([len(x) for x in self.bytes])
+        self.surface = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.byte_ids = {self.bytes[i][0]: i for i, k in enumerate(kinds) if k == "byte"}
         normal = [i for i, k in enumerate(kinds) if k == "normal"]
         self.ids = {pieces[i]: i for i in normal}
@@ -165,9 +168,9 @@ class Pieces:
             last[:, end] = piece[np.arange(words), best]
         return last
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of distinct words; characters that are no piece become the pieces of their bytes."""
-        out: dict[str, tuple[int, ...]] = {}
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, as bytes of 32-bit numbers; characters that are no piece become the pieces of their bytes."""
+        out: dict[str, bytes] = {}
         by_size: dict[int, list[str]] = {}
         for w in words:
             if len(w) > LONG:
@@ -183,19 +186,21 @@ class Pieces:
                     token = np.where(at > 0, last[np.arange(len(part)), at], -1)
                     rows.append(token)
                     at = np.where(at > 0, at - self.length[token], 0)
-                ids = np.array(rows[::-1]).T
-                for w, row in zip(part, ids.tolist()):
-                    row = [x for x in row if x >= 0]
-                    out[w] = self._with_bytes(w, row) if self.n in row else tuple(row)
+                ids = np.array(rows[::-1], np.int32).T
+                found = ids >= 0
+                flat, ends = np.ascontiguousarray(ids[found]).tobytes(), (4 * np.cumsum(found.sum(1))).tolist()
+                out.update(zip(part, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+                for k in np.flatnonzero((ids == self.n).any(1)):
+                    out[part[k]] = self._with_bytes(part[k], ids[k][found[k]].tolist())
         return out
 
-    def _with_bytes(self, word: str, ids: list[int]) -> tuple[int, ...]:
+    def _with_bytes(self, word: str, ids: list[int]) -> bytes:
         out, at = [], 0
         for i in ids:
             size = int(self.length[i])
             out += [self.byte_ids[x] for x in word[at : at + size].encode("utf-8", "replace")] if i == self.n else [i]
             at += size
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
 
 class Codec:
@@ -203,20 +208,26 @@ class Codec:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.known: dict[str, tuple[int, ...]] = pieces.__dict__.setdefault("known", {})  # a worker keeps it from task to task
+        self.known: dict[str, bytes] = pieces.__dict__.setdefault("known", {})  # a worker keeps it from task to task
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         met = set(chain.from_iterable(units))
         if len(self.known) > CACHE:
             self.known.clear()
-        self.known |= self.pieces.encode_words(sorted(met - self.known.keys()))
+        self.known |= self.pieces.encode_words(list(met - self.known.keys()))
         get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, u))) for u in units]
+        return [np.frombuffer(b"".join(map(get, u)), np.int32) for u in units]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids, without the space that stands before every text."""
-        return b"".join(map(self.pieces.bytes.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+        starts, sizes, flat = self.pieces.surface
+        ids = np.asarray(ids, np.int64)
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        text = flat[np.repeat(starts[ids] - ends + n, n) + np.arange(total)].tobytes()
+        return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -230,6 +241,18 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [kind(i) for i in range(n)])
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their bytes exceed TOGETHER_BYTES: the more words are new at once, the longer numpy's arrays."""
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        some.append(b)
+        if sum(x.nbytes for x in some) > TOGETHER_BYTES:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, token_ids, round_trip (decoding gives the text back).
 
@@ -241,13 +264,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
-        for b in batches:
+        for b in gathered(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = codec.encode(texts)
             same = [codec.decode(x) == t for x, t in zip(ids, texts)]
             sizes = np.array([len(x) for x in ids], np.int32)
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
     arrow_batches(spark)
