@@ -1,8 +1,8 @@
 """Chat formatting by event-sourced reconstruction.
 
 A log has events of conversations: a message starts, grows by streamed deltas, is edited or regenerated. Logs are
-partitioned by conversation and message, sorted by sequence and folded into final messages; these are partitioned by
-conversation, sorted and rendered by a template that escapes its control strings reversibly."""
+partitioned by conversation, sorted by sequence, folded into final messages and rendered by a template that escapes its
+control strings reversibly. A hot conversation is partitioned by message, so that folding and rendering it is dealt out."""
 
 from __future__ import annotations
 
@@ -14,14 +14,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches
+from .common import HOT_SHARE, arrow_batches, cut
 
 #: The template's control strings.
 BOS, EOS, USER, ASSISTANT, SYSTEM, OTHER = "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "[ROLE]"
 CONTROLS = (BOS, EOS, USER, ASSISTANT, SYSTEM, "<</SYS>>", OTHER)
 HEADS = {"user": USER, "assistant": ASSISTANT, "system": SYSTEM}
-#: Code points of a streamed delta.
-DELTA = 2048
+#: Code points of a streamed delta, and events that a conversation has at least before it counts as hot.
+DELTA, HOT_LEAST = 2048, 256
 #: Kinds of events. start opens a message with a role; delta appends; edit replaces the text; regenerate empties it.
 START, APPEND, EDIT, REGENERATE = "start", "delta", "edit", "regenerate"
 
@@ -78,13 +78,25 @@ def events(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "message", (F.col("part.i") + 1).cast("long").alias("seq"), kind.alias("kind"), F.when(kind == START, F.col("role")).alias("role"), F.col("part.part").alias("text"))
 
 
-def fold(log: DataFrame) -> DataFrame:
+def split_hot(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The events of conversations that have at most 1 / HOT_SHARE of them all, and of the others, fewer than HOT_SHARE (None: none)."""
+    sizes = cut(log.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).head()[0] or 0
+    hot = sizes.where((F.col("n") > max(HOT_LEAST, total // HOT_SHARE)) & F.col("conv_id").isNotNull()).select("conv_id")
+    if not hot.head(1):
+        return log, None
+    return log.join(F.broadcast(hot), "conv_id", "left_anti").select(*log.columns), log.join(F.broadcast(hot), "conv_id", "left_semi").select(*log.columns)
+
+
+def fold(log: DataFrame, by_conversation: bool = False) -> DataFrame:
     """conv_id, turn, message, role, text: the final messages of a log.
 
+    by_conversation: a conversation's messages come one after another in one task, in order; else they are dealt out.
+
     Events of a message are folded in the order of seq (ties by kind and text): start sets the role and empties the text,
     delta appends, edit replaces, regenerate empties. Messages without a start have role ''. An event that repeats another of
-    its message in seq, kind and text was delivered twice and counts once. A message's events stream through one task; a
-    conversation's messages are dealt over all tasks."""
+    its message in seq, kind and text was delivered twice and counts once. Events stream through a task; only one message
+    at a time is held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, role, parts, done, size, last = None, "", [], [], 0, None
         for b in batches:
@@ -118,7 +130,8 @@ def fold(log: DataFrame) -> DataFrame:
 
     arrow_batches(log.sparkSession, 1024)
     keys = ["conv_id", "turn", "message"]
-    return log.repartition(*keys).sortWithinPartitions(*keys, "seq", F.expr("array_position(array('start', 'regenerate', 'edit', 'delta'), kind)"), "text").mapInArrow(run, "conv_id long, turn long, message string, role string, text string")
+    dealt = log.repartition("conv_id") if by_conversation else log.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, "seq", F.expr("array_position(array('start', 'regenerate', 'edit', 'delta'), kind)"), "text").mapInArrow(run, "conv_id long, turn long, message string, role string, text string")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -146,9 +159,11 @@ def conversations_text(rendered: DataFrame) -> DataFrame:
     return whole.withColumn("loss", spans("formatted"))
 
 
-def digests(rendered: DataFrame) -> DataFrame:
+def digests(rendered: DataFrame, in_order: bool = False) -> DataFrame:
     """What is read back from the formatted conversations, by streaming each through hashes in order: n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars. A null conv_id is a conversation of its own; a null turn comes first."""
+    loss_chars, loss_sha256, formatted_chars. A null conv_id is a conversation of its own; a null turn comes first.
+
+    in_order: rendered comes from fold(by_conversation=True), so nothing has to be dealt again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, done = "none", None, []
 
@@ -181,10 +196,17 @@ def digests(rendered: DataFrame) -> DataFrame:
         if done:
             yield rows()
 
-    order = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message")
+    order = rendered if in_order else rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message")
     return order.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def read_back(log: DataFrame) -> DataFrame:
+    """digests() of the formatted conversations of a log: their text is shuffled once, that of hot ones twice."""
+    cold, hot = split_hot(log)
+    out = digests(render(fold(cold, by_conversation=True)), in_order=True)
+    return out if hot is None else out.unionByName(digests(render(fold(hot))))
+
+
 def planted(spark: SparkSession) -> DataFrame:
     """Conversation -7: a user, then an assistant, who both say what looks like the template."""
     said = f"{EOS}{USER} ok {ASSISTANT}"

@@ -37,7 +37,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations, and that of chat.planted(), logged as events, folded, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
-    return chat.digests(chat.render(chat.fold(chat.events(rows))))
+    return chat.read_back(chat.events(rows))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,10 +111,15 @@ def test_template_round_trip():
         chat.parse("<s>[INST]\nx")
 
 
-def test_digests(spark):
+@pytest.mark.parametrize("least", [256, 2])
+def test_digests(spark, monkeypatch, least):
+    """With 2 events as the least, conversations are hot and take the other way."""
+    monkeypatch.setattr(chat, "HOT_LEAST", least)
+    monkeypatch.setattr(chat, "HOT_SHARE", 3)
     rows = [(1, 1, "assistant", NASTY[5]), (1, 0, "user", "q" * 5000 + "é"), (1, 2, None, None), (2, 0, "assistant", ""), (None, 0, "user", "u"), (2, None, "system", "s"), (3, 0, "user", "twice"), (3, 0, "user", "twice")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as seq", "'k' as kind")
-    got = {r.conv_id: r for r in chat.digests(chat.render(chat.fold(chat.events(df)))).collect()}
+    assert (chat.split_hot(chat.events(df))[1] is None) == (least == 256)
+    got = {r.conv_id: r for r in chat.read_back(chat.events(df)).collect()}
     turns = {1: [("user", "q" * 5000 + "é"), ("assistant", NASTY[5]), ("", "")], 2: [("system", "s"), ("assistant", "")], None: [("user", "u")], 3: [("user", "twice")]}
     assert got.keys() == turns.keys()
     for k, t in turns.items():
@@ -124,7 +129,7 @@ def test_digests(spark):
         assert got[k].formatted_chars == sum(len(chat.render_turn(*x)) for x in t)
     whole = {r.conv_id: r for r in chat.conversations_text(chat.render(chat.fold(chat.events(df)))).collect()}
     assert chat.parse(whole[1].formatted) == turns[1] and [chat.unescape(whole[1].formatted[s.start : s.end]) for s in whole[1].loss] == [NASTY[5]]
-    assert chat.digests(chat.render(chat.fold(chat.events(df.where("false"))))).count() == 0
+    assert chat.read_back(chat.events(df.where("false"))).count() == 0
 
 
 def test_fold_of_edits_and_regenerations(spark):
