@@ -26,7 +26,7 @@ BASE, LENGTH_KEY = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << 40
 #: Words longer than LONG are merged one by one; words kept in a worker's cache; words that advance together at
 #: most; bytes of text whose words are met together.
-LONG, CACHE, TOGETHER, TOGETHER_BYTES = 400, 500_000, 8192, 4 << 20
+LONG, CACHE, TOGETHER, TOGETHER_BYTES = 400, 300_000, 8192, 4 << 20
 #: Sizes of the filter before the sorted keys, and of the table of seams between two pieces.
 FILTER_BITS, SEAM_BITS = 20, 20
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
