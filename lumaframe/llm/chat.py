@@ -70,7 +70,7 @@ def events(conversations: DataFrame) -> DataFrame:
     a hash of role and text; rows alike in all four are one message that was logged twice."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parts = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), 0), lambda x, i: F.struct(i.alias("i"), x.alias("part")))
-    message = F.sha2(F.concat_ws("\n", "role", "text"), 256)
+    message = F.substring(F.sha2(F.concat_ws("\n", "role", "text"), 256), 1, 16)
     rows = rows.withColumn("message", message).withColumn("parts", F.when(F.col("text") == "", F.array().cast("array<struct<i:int,part:string>>")).otherwise(parts))
     start = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("part"))
     rows = rows.withColumn("part", F.explode(F.concat(F.array(start), "parts")))
