@@ -42,12 +42,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int((1 << np.flatnonzero(2 * ones > len(starts)).astype(np.uint64)).sum(dtype=np.uint64)) if (2 * ones > len(starts)).any() else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), one row per row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint of shingles of so many words as a signed long), one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     arrow_batches(docs.sparkSession)
@@ -154,13 +154,13 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else e.toDF("node", "root")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), class_size.
 
     Null and empty texts, and those of white space, have fingerprint 0 and are linked like any other. A null id is never
     the smallest; a class without any id has a null component_id. Repeated rows are rows of one class. Comparison is
     quadratic in distinct fingerprints, as the method is; classes and tiles lose no link."""
-    fps = cut(fingerprints(docs, id_col, text_col))
+    fps = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     roots = connected(links(distinct, radius))
     linked = distinct.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -172,10 +172,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each class, that with the smallest id; all columns as they were. Rows without an id stay;
     rows that repeat the id that stays leave one."""
-    classes = cut(near_classes(docs, id_col, text_col).select("doc_id", "component_id"))
+    classes = cut(near_classes(docs, id_col, text_col, radius, shingle).select("doc_id", "component_id"))
     stay = classes.where("doc_id = component_id").groupBy("doc_id").count()
     drop = classes.where("doc_id <> component_id").select("doc_id").distinct().join(stay.select("doc_id"), "doc_id", "left_anti")
     return one_each(without(docs, id_col, cut(drop)), id_col, cut(stay.where("count > 1").select("doc_id")))

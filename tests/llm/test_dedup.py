@@ -98,6 +98,17 @@ def test_near_classes(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({v for v in least.values() if v is not None})
 
 
+def test_shingle_and_radius(make_docs):
+    """Near copies over 4 bits apart in shingles of 5 words are found at their distance, and not under it."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words[:20], "x", *words[21:]])]
+    a, b = (fingerprint(t, 5) for t in texts)
+    apart = (a ^ b).bit_count()
+    assert apart > 4 and [r.fp for r in simhash.fingerprints(make_docs(texts), shingle=5).sort("doc_id").collect()] == np.array([a, b], np.uint64).view(np.int64).tolist()
+    for radius, n in ((apart - 1, 2), (apart, 1)):
+        assert simhash.drop_near(make_docs(texts), radius=radius, shingle=5).count() == n
+
+
 @pytest.mark.parametrize("n,m,block", [(700, 900, 1 << 10), (5, 0, 1 << 18), (300, 300, 64)])
 def test_compare_loses_nothing(monkeypatch, n, m, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
