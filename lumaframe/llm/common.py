@@ -99,6 +99,15 @@ def one_each(df: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
     return df.join(again, key, "left_anti").select(*df.columns).unionByName(rows.dropDuplicates([key]))
 
 
+def one_row(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """df without its column key, and one row for each key: that with the longest text, then by text and a hash of the other columns."""
+    names = [c for c in df.columns if c != key]
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if c != key and "map<" not in kind])
+    order = F.struct(F.length(F.coalesce(text_col, F.lit(""))).alias("n"), F.col(text_col).alias("text"), hashed.alias("hash"))
+    best = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), order).alias("best"))
+    return best.select(*[F.col("best").getField(c).alias(c) for c in names])
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

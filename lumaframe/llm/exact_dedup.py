@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, SPACES, cut, join_classes, one_each, scratch, without
+from .common import BROADCAST_ROWS, SPACES, cut, fresh, join_classes, one_row, scratch
 
 RUN = "digest binary, n_cp int, doc_id {id}"
 
@@ -98,8 +98,21 @@ def _by_text(docs: DataFrame, out: DataFrame, collided: DataFrame, index: Digest
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were. Rows that repeat an id leave one row."""
+    """docs with one row of each group of equal texts, all columns as they were; ids decide which row stays, not whether.
+
+    The row that stays is that of exact_groups; of several with its id, that with the most code points, then by text and a hash."""
     groups = cut(exact_groups(docs, id_col, text_col))
-    again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = without(docs, id_col, groups.where("not kept").select("doc_id").distinct().join(groups.where("kept").select("doc_id"), "doc_id", "left_anti"))
-    return one_each(left, id_col, cut(again))
+    sha, keep, same = fresh(docs, "text_sha256", "keep_id", "same")
+    hits = groups.where("group_size > 1").groupBy("text_sha256").agg(F.first("keep_id").alias(keep), F.count_if("kept").alias(same), F.count(F.lit(1)).alias("n"))
+    hits = cut(hits.withColumnRenamed("text_sha256", sha))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    if hits.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(hits.drop("n")), sha, "left")
+    else:
+        rows = join_classes(rows, hits.withColumnRenamed("n", fresh(rows, "n")[0]), sha, fresh(rows, "n")[0], groups.count())
+    rows = rows.where(F.col(same).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
+    alone = rows.where(F.coalesce(same, F.lit(1)) == 1).select(*names)
+    if not hits.where(F.col(same) > 1).head(1):
+        return alone
+    return alone.unionByName(one_row(rows.where(F.col(same) > 1).select(*names, sha), sha, text_col))

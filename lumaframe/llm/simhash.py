@@ -14,8 +14,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_batches, cut, join_classes, one_each, without
+from .common import BROADCAST_ROWS, arrow_batches, cut, fresh, join_classes, one_each, one_row, without
 
 RADIUS, SHINGLE = 4, 4
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
@@ -161,15 +162,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the smallest; a class without any id has a null component_id. Repeated rows are rows of one class. Comparison is
     quadratic in distinct fingerprints, as the method is; classes and tiles lose no link."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    out = join_classes(fps, _classes(fps, radius).select("fp", "n", "component_id", "class_size"), "fp", "n", fps.count(), "inner")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+
+
+def _classes(fps: DataFrame, radius: int) -> DataFrame:
+    """For each fingerprint: fp, its rows n and least_id, component_id, class_size, and first: whether the row that stays of its
+    class, that with the smallest id and then fingerprint, a null id last, has this fingerprint (and least_id)."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     roots = connected(links(distinct, radius))
     linked = distinct.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    sums = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("fps"))
+    best = F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "fp")).alias("best")
+    sums = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("fps"), best)
+    sums = sums.withColumn("first_fp", F.col("best.fp")).drop("best")
     linked = cut(linked)
     sums = cut(sums)
-    classes = cut(join_classes(linked.select("fp", "n", "root"), sums, "root", "fps", linked.count()))
-    out = join_classes(fps, classes.select("fp", "n", "component_id", "class_size"), "fp", "n", fps.count(), "inner")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+    classes = join_classes(linked.select("fp", "n", "least_id", "root"), sums, "root", "fps", linked.count())
+    return cut(classes.withColumn("first", F.col("fp") == F.col("first_fp")).drop("first_fp"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -179,3 +188,33 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     stay = classes.where("doc_id = component_id").groupBy("doc_id").count()
     drop = classes.where("doc_id <> component_id").select("doc_id").distinct().join(stay.select("doc_id"), "doc_id", "left_anti")
     return one_each(without(docs, id_col, cut(drop)), id_col, cut(stay.where("count > 1").select("doc_id")))
+
+
+def drop_near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """docs with exactly one row of each class, whatever its id: that with the smallest id, then fingerprint, a null id last; of
+    several alike in both, that of common.one_row(). All columns as they were.
+
+    A row whose id no other row has is judged by its id; only the others are read and fingerprinted again."""
+    fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    classes = _classes(fps, radius)
+    total = fps.count()
+    rows = join_classes(fps, classes.select("fp", "n", "least_id", "first"), "fp", "n", total, "inner")
+    rows = rows.select("doc_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("least_id"))).alias("stays"))
+    ids = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("stays").alias("stays")))
+    again = ids.where("n > 1").select("doc_id")
+    own = without(docs, id_col, ids.where("n > 1 or not stays").select("doc_id")).where(F.col(id_col).isNotNull())
+    if not again.head(1) and not fps.where("doc_id is null").head(1):
+        return own
+    judged = docs.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, docs[id_col] == again["doc_id"], "left_semi")
+    judged = judged.unionByName(docs.where(F.col(id_col).isNull()))
+    at, (fp, least, n) = docs.columns.index(text_col), fresh(docs, "fp", "least_id", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, fp])
+
+    judged = judged.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    firsts = classes.where("first").select(F.col("fp").alias(fp), F.col("n").alias(n), F.col("least_id").alias(least))
+    judged = join_classes(judged, firsts, fp, n, total, "inner").where(F.col(id_col).eqNullSafe(F.col(least)))
+    return own.unionByName(one_row(judged.drop(least, n), fp, text_col))

@@ -53,6 +53,27 @@ def test_drop_copies(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5] and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_drop_copies_by_row(monkeypatch, make_docs, broadcast):
+    """Texts that share an id both stay, a copy goes whatever else has its id, and null ids leave one row a text."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", broadcast)
+    rows = [(1, "a"), (1, "b"), (2, "c"), (3, "c"), (3, "d"), (None, "e"), (None, "e "), (None, "e"), (None, "a"), (None, "f"), (5, "g g"), (5, "gg"), (6, "h"), (6, "h")]
+    kept = exact_dedup.drop_copies(make_docs([(i, t, "en", "s") for i, t in rows]))
+    want = [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e "), (None, "f"), (5, "g g"), (6, "h")]
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
+
+
+def test_drop_near_rows(make_docs):
+    """One row a class: texts that share an id both stay, and so does one of those without an id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (1, b), (2, c), (3, c.upper()), (3, d), (None, e), (None, e.upper()), (None, a), (7, d.upper())]
+    docs = make_docs([(i, t, "en", "s") for i, t in rows])
+    kept = simhash.drop_near_rows(docs)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted(str((i, t.lower())) for i, t in got) == sorted(map(str, [(1, a), (1, b), (2, c), (3, d), (None, e)]))
+    assert simhash.drop_near_rows(docs.where("false")).count() == 0
+
+
 def test_empty(make_docs):
     docs = make_docs(["x"]).where("false")
     assert exact_dedup.exact_groups(docs).count() == 0 and simhash.near_classes(docs).count() == 0
