@@ -63,14 +63,17 @@ def loss_spans(formatted: str) -> list[tuple[int, int]]:
     return [m.span(3) for m in _TURN.finditer(formatted) if m[1] == ASSISTANT]
 
 
-def events(conversations: DataFrame) -> DataFrame:
+def events(conversations: DataFrame, each_row: bool = False) -> DataFrame:
     """conv_id, turn, seq, kind, role, text: a log of rows by turn, a start and deltas of at most DELTA code points for each row.
 
     Null roles and texts count as empty. Rows that share conversation and turn are messages one after another, in the order of
-    a hash of role and text; rows alike in all four are one message that was logged twice."""
+    a hash of role and text. each_row: a message's key ends in a number of its row, so rows alike in all four are as many
+    messages; else they are one message that was logged twice."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parts = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), 0), lambda x, i: F.struct(i.alias("i"), x.alias("part")))
-    message = F.substring(F.sha2(F.concat_ws("\n", "role", "text"), 256), 1, 16)
+    message = F.substring(F.sha2(F.concat_ws("\n", F.length("role").cast("string"), "role", "text"), 256), 1, 16)
+    if each_row:
+        message = F.concat(message, F.hex(F.monotonically_increasing_id()))
     rows = rows.withColumn("message", message).withColumn("parts", F.when(F.col("text") == "", F.array().cast("array<struct<i:int,part:string>>")).otherwise(parts))
     start = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("part"))
     rows = rows.withColumn("part", F.explode(F.concat(F.array(start), "parts")))

@@ -132,6 +132,25 @@ def test_digests(spark, monkeypatch, least):
     assert chat.read_back(chat.events(df.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("least", [256, 2])
+def test_each_row_is_a_turn(spark, monkeypatch, tmp_path, least):
+    """The query counts repeated rows, as its SQL does, also in a hot conversation; roles and texts that join to the same text are two."""
+    import duckdb
+
+    from lumaframe.llm.queries import ORACLE_SQL, QUERIES
+
+    monkeypatch.setattr(chat, "HOT_LEAST", least)
+    monkeypatch.setattr(chat, "HOT_SHARE", 3)
+    rows = [(1, 0, "assistant", "ok")] * 3 + [(2, None, "assistant", "ok")] * 40 + [(3, 0, "user", "hi"), (3, 1, "assistant", "é" * 5000), (3, 1, "assistant", "é" * 5000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.sql(ORACLE_SQL["op5_chat"]).fetchall()
+    assert sorted(map(tuple, QUERIES["op5_chat"](spark, str(tmp_path)).collect())) == sorted(want)
+    two = spark.createDataFrame([(1, 0, "a\nb", "c"), (1, 0, "a", "b\nc")], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.events(two)).head().n_turns == 2
+
+
 def test_fold_of_edits_and_regenerations(spark):
     log = [
         (1, 0, "m", 0, "start", "user", None), (1, 0, "m", 2, "delta", None, "lo"), (1, 0, "m", 1, "delta", None, "hel"), (1, 0, "m", 1, "delta", None, "hel"),
