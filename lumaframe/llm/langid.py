@@ -181,14 +181,16 @@ LEAST_SCORE = 0.3
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **columns) -> DataFrame:
     """docs without the rows that are undetermined or whose main language has a proportion under least_score.
 
-    A row is judged where it is read: all its columns pass through, nothing is shuffled."""
+    Where train() learned no language, only null texts and those without a letter are rejected. A row is judged where it is
+    read: all its columns pass through, nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, **columns))
     at = docs.columns.index(columns.get("text_col", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            stays = [max(own.shares(t or "").values(), default=-1.0) >= least_score for t in b.column(at).to_pylist()]
+            texts = b.column(at).to_pylist()
+            stays = [max(own.shares(t or "").values(), default=-1.0) >= least_score for t in texts] if own.languages else [has_letter(t or "") for t in texts]
             yield b.filter(pa.array(stays, pa.bool_()))
 
     arrow_batches(docs.sparkSession)

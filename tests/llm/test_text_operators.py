@@ -134,6 +134,11 @@ def test_language_without_training_rows(make_docs):
     assert {r.lang_pred for r in langid.identify(docs).collect()} == {"und"} and langid.identify(docs.where("false")).count() == 0
 
 
+def test_keep_identified_without_labels(make_docs):
+    docs = make_docs([(1, "some text", None, "s"), (2, "12 !", None, "s"), (3, None, None, "s"), (4, "é", None, "s")])
+    assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [1, 4]
+
+
 def test_ngrams_in_chunks(monkeypatch):
     text = "Some words, and more of them: ÄÖÜ 42 " * 40
     whole = langid.ngram_counts(text)
