@@ -17,8 +17,8 @@ from .common import arrow_batches, held_out
 
 #: Hash buckets of n-grams, their lengths, and the weight that smoothing gives to the pool of all languages.
 BUCKETS, LENGTHS, SMOOTHING = 1 << 15, (1, 2, 3), 0.05
-#: Labelled documents that training reads of each language on average, and languages that are told apart at most.
-PER_LANGUAGE, MAX_LANGUAGES = 1000, 256
+#: Labelled documents that training reads of each language on average.
+PER_LANGUAGE = 1000
 STEPS, TOLERANCE, PENALTY, LEAST_SHARE = 40, 1e-4, 2.0, 0.02
 #: Code points whose n-grams are hashed at once.
 CHUNK = 1 << 20
@@ -115,11 +115,11 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model of rows that have a text and a language and aren't held out: about per_language whole documents of each.
 
-    Rows are chosen by a hash of id and language. Of more languages than MAX_LANGUAGES, those of most documents count."""
+    Rows are chosen by a hash of id and language. Every language counts; the model holds half a megabyte for each."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").agg(F.count("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("doc_id").alias("n")).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
@@ -141,7 +141,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     arrow_batches(spark)
     sums = sample.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
-    counts[sums["lang"].map(languages.index).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
+    counts[sums["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
     keep = counts.sum(1) > 0
     return Model([x for x, k in zip(languages, keep) if k], counts[keep])
 

@@ -139,6 +139,13 @@ def test_keep_identified_without_labels(make_docs):
     assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [1, 4]
 
 
+def test_every_language_is_learned(make_docs):
+    names = [f"{k:03}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(300)]
+    docs = make_docs([(5 * k + i, f"{x}q{x} " * 20, x, "s") for k, x in enumerate(names) for i in range(5)])
+    model = langid.train(docs)
+    assert model.languages == sorted(names) and all(next(iter(model.shares(f"{x}q{x} " * 20))) == x for x in names[::50])
+
+
 def test_ngrams_in_chunks(monkeypatch):
     text = "Some words, and more of them: ÄÖÜ 42 " * 40
     whole = langid.ngram_counts(text)
