@@ -19,7 +19,8 @@ from .common import arrow_batches, held_out
 BUCKETS, LENGTHS, SMOOTHING = 1 << 15, (1, 2, 3), 0.05
 #: Labelled documents that training reads of each language on average.
 PER_LANGUAGE = 1000
-STEPS, TOLERANCE, PENALTY, LEAST_SHARE = 40, 1e-4, 2.0, 0.02
+#: Expectation-maximisation ends where the log likelihood is within TOLERANCE of its greatest, or after STEPS.
+STEPS, TOLERANCE, PENALTY = 1000, 0.02, 2.0
 #: Code points whose n-grams are hashed at once.
 CHUNK = 1 << 20
 UNDETERMINED = "und"
@@ -75,17 +76,23 @@ class Model:
         self.prob = np.ascontiguousarray(((1 - SMOOTHING) * own + SMOOTHING * pool).T)
         self.logp = np.log(self.prob)
 
-    def mixture(self, prob: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
-        """Proportions and log likelihood by expectation-maximisation. prob: n-grams by languages; n: their counts."""
+    def mixture(self, prob: np.ndarray, n: np.ndarray, share: np.ndarray, enough: float = -np.inf) -> tuple[np.ndarray, float, float]:
+        """Proportions, log likelihood, and an upper bound of what any proportions reach, by expectation-maximisation; it ends
+        early where that bound is at most `enough`. prob: n-grams by languages; n: their counts."""
         total = n.sum()
         for _ in range(STEPS):
             mixed = prob @ share
-            new = share * ((n / mixed) @ prob) / total
-            done = np.abs(new - share).max() < TOLERANCE
-            share = new
-            if done:
+            gain = (n / mixed) @ prob / total
+            # the log likelihood is concave: by Jensen's inequality no proportions gain more than this
+            over = total * np.log(gain.max())
+            if over < TOLERANCE or (enough > -np.inf and n @ np.log(mixed) + over <= enough):
                 break
-        return share, float(n @ np.log(prob @ share))
+            share = share * gain
+        else:
+            mixed = prob @ share
+            over = total * np.log(((n / mixed) @ prob).max() / total)
+        likelihood = float(n @ np.log(mixed))
+        return share, likelihood, likelihood + max(0.0, float(over))
 
     def shares(self, text: str) -> dict[str, float]:
         """Language to proportion, the largest first; {} for a text without a letter or where no language was learned."""
@@ -99,14 +106,28 @@ class Model:
         chosen, least = [best], -2 * alone[best]
         if len(self.languages) > 1:
             prob = self.prob[buckets]
-            share, likelihood = self.mixture(prob, n, np.full(len(self.languages), 1 / len(self.languages)))
-            # the full mixture bounds what any set can reach: often no set of two can pay its penalty
-            if -2 * likelihood + cost < least:
-                order = [k for k in np.argsort(-share) if share[k] >= LEAST_SHARE]
-                for size in range(2, len(order) + 1):
-                    own, likelihood = self.mixture(prob[:, order[:size]], n, share[order[:size]] / share[order[:size]].sum())
-                    if (value := -2 * likelihood + cost * (size - 1)) < least:
-                        chosen, least, best_share = order[:size], value, own
+            share, _, most = self.mixture(prob, n, np.full(len(self.languages), 1 / len(self.languages)), -(least - cost) / 2)
+            # `most` bounds what any set can reach: often no set of two can pay its penalty, and none of more than this can
+            sizes = int(np.clip(np.ceil((least + 2 * most) / cost), 1, len(self.languages)))
+            order, best_share = np.argsort(-share), np.ones(1)
+            for size in range(2, sizes + 1):
+                own, likelihood, _ = self.mixture(prob[:, order[:size]], n, share[order[:size]] / share[order[:size]].sum())
+                if (value := -2 * likelihood + cost * (size - 1)) < least:
+                    chosen, least, best_share = order[:size].tolist(), value, own
+            while sizes > 1 and len(chosen) < len(self.languages):
+                # what a language can add is bounded in the same way; those that may pay are tried, the best one is taken
+                reach = 2 * n.sum() * np.log((n / (prob[:, chosen] @ best_share)) @ prob / n.sum())
+                found = None
+                for k in np.flatnonzero(reach + 2 * TOLERANCE > cost).tolist():
+                    if k in chosen:
+                        continue
+                    trial = [*chosen, k]
+                    own, likelihood, _ = self.mixture(prob[:, trial], n, np.append(best_share * 0.99, 0.01))
+                    if (value := -2 * likelihood + cost * (len(trial) - 1)) < least:
+                        found, least = (trial, own), value
+                if found is None:
+                    break
+                chosen, best_share = found
         if len(chosen) == 1:
             return {self.languages[chosen[0]]: 1.0}
         return {self.languages[chosen[k]]: float(best_share[k]) for k in np.argsort(-best_share)}

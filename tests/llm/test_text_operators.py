@@ -139,6 +139,25 @@ def test_keep_identified_without_labels(make_docs):
     assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [1, 4]
 
 
+def test_language_of_a_short_passage(make_docs):
+    """3% of a long text are in another language: smoothing explains 1.7% of them, and what is left pays its penalty many times."""
+    model, rnd = langid.train(make_docs(langs(300))), random.Random(2)
+    words = [rnd.choice(WORDS["xx"]) for _ in range(19_400)] + [rnd.choice(WORDS["zz"]) for _ in range(600)]
+    shares = model.shares(" ".join(words))
+    assert list(shares) == ["xx", "zz"] and 0.005 < shares["zz"] < 0.02
+
+
+def test_mixture_bound():
+    """The bound is over what any proportions reach, also where it ends early."""
+    draw = np.random.default_rng(4)
+    prob, n = draw.dirichlet(np.ones(50), 4).T, draw.integers(1, 30, 50).astype(float)
+    _, likelihood, most = langid.Model([], np.zeros((0, langid.BUCKETS))).mixture(prob, n, np.full(4, 0.25))
+    assert 0 <= most - likelihood < 1
+    assert all(n @ np.log(prob @ s) <= most + 1e-9 for s in draw.dirichlet(np.ones(4), 2000))
+    early = langid.Model([], np.zeros((0, langid.BUCKETS))).mixture(prob, n, np.full(4, 0.25), likelihood + 5)
+    assert likelihood <= early[2] <= likelihood + 5
+
+
 def test_every_language_is_learned(make_docs):
     names = [f"{k:03}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(300)]
     docs = make_docs([(5 * k + i, f"{x}q{x} " * 20, x, "s") for k, x in enumerate(names) for i in range(5)])
