@@ -344,6 +344,29 @@ def base64_shape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("payload"), s.strict_base64(text).alias("canonical"))
 
 
+def _unsafe_sql(p: str) -> str:
+    return f"""({p} = '' OR length({p}) + length(regexp_replace({p}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > {s.MAX_PATH} OR contains({p}, '{chr(92)}') OR contains({p}, chr(0))
+  OR regexp_matches({p}, '^(/|[A-Za-z][A-Za-z0-9+.-]*:)') OR regexp_matches(regexp_replace({p}, '/$', ''), '(^|/)[.]{{0,2}}(/|$)'))"""
+
+
+@query(f"""SELECT page_id, url, {_unsafe_sql("url")} AS unsafe, path, {_unsafe_sql("path")} AS path_unsafe, CASE WHEN ext IN ('png','json','piskel','pixil','gif','apng','ora','pxo','kra','psd') THEN ext END AS kind
+FROM (SELECT page_id, url, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS path, lower(regexp_extract(url, '\\.([^.]*)$', 1)) AS ext FROM pages)""")
+def page_urls(spark, sf_dir):
+    """path_safety and classify_source on the addresses of pages."""
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*/", "")
+    return table(spark, sf_dir, "pages").select("page_id", "url", s.unsafe_path(F.col("url")).alias("unsafe"), path.alias("path"), s.unsafe_path(path).alias("path_unsafe"), s.source_kind(F.col("url"), F.lit("")).alias("kind"))
+
+
+_CANONICAL = "([A-Za-z0-9+/]{4})*([A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?"
+
+
+@query(f"SELECT doc_id, regexp_full_match(text, '{_CANONICAL}') AS text_canonical, regexp_full_match(base64(encode(text)), '{_CANONICAL}') AS base64_canonical FROM documents")
+def document_base64(spark, sf_dir):
+    """base64_shape on whole texts of documents and on their base64 form."""
+    coded = F.translate(F.base64(F.encode("text", "utf-8")), "\r\n", "")
+    return table(spark, sf_dir, "documents").select("doc_id", s.strict_base64(F.col("text")).alias("text_canonical"), s.strict_base64(coded).alias("base64_canonical"))
+
+
 @query("""WITH v AS (SELECT conv_id, turn, 0 AS section, 'invalid_layer_name' AS code FROM conversations WHERE trim(role) = 'system'
   UNION ALL SELECT conv_id, turn, 1, 'invalid_frame_duration' FROM conversations WHERE length(text) > 65 UNION ALL SELECT conv_id, turn, 2, 'invalid_frame_index' FROM conversations WHERE turn % 3 = 1)
 SELECT conv_id, turn, code, (row_number() OVER (PARTITION BY conv_id ORDER BY section, turn))::INT AS ordinal FROM v""")

@@ -55,6 +55,19 @@ def test_query(spark, folder, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_table_values(spark, tmp_path):
+    """Addresses and texts of the tables, long and null ones too, reach the operators."""
+    urls = [None, "", "http://h/a/b.PNG", "http://h/a/../b.gif", "http://h//x", "dir/c.json", "http://h/" + "x" * 70_000, "http://h/a\\b", "/abs.psd"]
+    texts = [None, "", "QQ==", "QR==", "QQ==\n", "word é " * 40_000, "A" * 400_000, "A" * 400_001]
+    pd.DataFrame({"page_id": range(len(urls)), "url": urls}).to_parquet(tmp_path / "pages.parquet")
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    for name, of in (("page_urls", "pages"), ("document_base64", "documents")):
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW {of} AS SELECT * FROM '{tmp_path}/{of}.parquet'")
+        got = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert rows(got) == rows(db.sql(catalogue.ORACLE_SQL[name]).df())
+
+
 def test_entry_point():
     names = entry.queries()
     assert set(catalogue.QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
