@@ -5,7 +5,6 @@ that a rule rejects reaches none of the later ones. The order changes the work,
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +16,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "#*$%&|<>"
 #: Rows that the sample holds on average.
 SAMPLE_ROWS = 500
+#: Bits of the hashes by which windows of words are first told apart; equal hashes are then compared word by word.
+HASH_BITS = 64
+#: Units of work, about a nanosecond each: a comparison of counts, a character translated, one matched by an expression, a word hashed.
+COMPARE, TRANSLATE, MATCH, HASH = 50, 3, 15, 60
 
 
 def text_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,25 +36,39 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _covered(hashes: Column) -> Column:
-    """How many words the repeated windows cover. hashes: those of the windows, by position."""
+def _repeated(keys: Column) -> Column:
+    """The positions, ascending, of the keys that occur twice or more."""
 
-    def repeated(pairs: Column) -> Column:
+    def found(pairs: Column) -> Column:
         same = lambda x, k, by: F.coalesce(x["h"] == F.get(pairs, k + by)["h"], F.lit(False))
         return F.array_sort(F.transform(F.filter(pairs, lambda x, k: same(x, k, -1) | same(x, k, 1)), lambda x: x["i"]))
 
-    def union(at: Column) -> Column:
-        return F.aggregate(F.transform(at, lambda v, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), v - F.get(at, k - 1)))), F.lit(0), lambda a, v: a + v)
+    return _let(F.sort_array(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), found)
 
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return _let(_let(pairs, repeated), union)
+
+def _covered(at: Column) -> Column:
+    """How many words the windows at these positions cover."""
+    return F.aggregate(F.transform(at, lambda v, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), v - F.get(at, k - 1)))), F.lit(0), lambda a, v: a + v)
 
 
 def _repeat_words(words: Column) -> Column:
-    # get() is constant in time; slice() would copy the array, for each window
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h))
-    return F.when(F.size(words) >= WINDOW, _let(windows, count)).otherwise(F.lit(0))
+    """A window's hash is that of its halves' hashes. Where hashes repeat, the windows themselves are compared: if two that
+    differ share a hash, the count goes by the windows' words."""
+    window = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(WINDOW)])  # noqa: E731  # get() is constant in time; slice() would copy the array
+    places = lambda h, step: F.sequence(F.lit(0), F.size(h) - step - 1)
+    narrow = lambda h: h if HASH_BITS == 64 else F.pmod(h, F.lit(1 << HASH_BITS))
+    joined = lambda h, step: F.transform(places(h, step), lambda i: narrow(F.xxhash64(F.get(h, i), F.get(h, i + step))))
+    distinct = lambda x: F.size(F.array_distinct(x))
+
+    def verified(h: Column) -> Column:
+        def check(at: Column) -> Column:
+            alike = distinct(F.transform(at, window)) == distinct(F.transform(at, lambda i: F.get(h, i)))
+            return F.when(alike, _covered(at)).otherwise(_let(_repeated(F.transform(places(words, WINDOW - 1), window)), _covered))
+
+        return F.when(distinct(h) == F.size(h), F.lit(0)).otherwise(_let(_repeated(h), check))
+
+    hashed = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(joined(h, 1), lambda h2: _let(joined(h2, 2), lambda h4: _let(joined(h4, 4), verified))))
+    return F.when(F.size(words) >= WINDOW, hashed).otherwise(F.lit(0))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,10 +93,11 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule rejects a text where its condition is true; the condition reads the columns of measures()."""
+    """A rule rejects a text where its condition is true; work is what the condition takes, in units. Both read the columns of measures()."""
 
     name: str
     rejects: Column
+    work: Column
 
 
 def rules() -> list[Rule]:
@@ -87,42 +105,42 @@ def rules() -> list[Rule]:
     upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
     letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
     marks = F.length(text) - F.length(F.translate(text, "!?", ""))
+    size = F.length(text)
     return [
-        Rule("mean_word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size(F.split(text, "\n"))),
-        Rule("exclamations", 10 * marks > 3 * n),
-        Rule("capitals", 10 * upper > 3 * letters),
-        Rule("vocabulary", (n >= 50) & (5 * F.size(F.array_distinct("words")) < n)),
+        Rule("mean_word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n), F.lit(2 * COMPARE)),
+        Rule("symbols", 10 * F.col("n_symbols") > n, F.lit(COMPARE)),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size(F.split(text, "\n")), COMPARE + MATCH * size),
+        Rule("exclamations", 10 * marks > 3 * n, COMPARE + TRANSLATE * size),
+        Rule("capitals", 10 * upper > 3 * letters, COMPARE + 2 * MATCH * size),
+        Rule("vocabulary", (n >= 50) & (5 * F.size(F.array_distinct("words")) < n), COMPARE + F.when(n >= 50, HASH * n).otherwise(0)),
     ]
 
 
 def cascade_order(rows: DataFrame, all_rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, both measured on a sample of rows (columns of text_columns are read)."""
+    """The rules by rejections per work, both summed over a sample of rows (columns of text_columns are read) that pass the
+    base; rules of equal value stay in the given order. One aggregation where the rows are read: no clock, so repeated runs agree."""
     total = rows.count()
-    if not total:
+    if not total or not all_rules:
         return all_rules
-    sample = measures(rows.sample(min(1.0, sample_rows / total), seed=7).coalesce(2)).cache()
-    try:
-        sample.count()
-        value = {}
-        for r in all_rules:
-            began = time.perf_counter()
-            rejected = sample.select(F.count_if(~base_failed() & r.rejects)).head()[0]
-            value[r.name] = rejected / (time.perf_counter() - began)
-    finally:
-        sample.unpersist()
+    sample = measures(rows.sample(min(1.0, sample_rows / total), seed=7)).where(~base_failed())
+    sums = [x for r in all_rules for x in (F.count_if(r.rejects), F.coalesce(F.sum(r.work), F.lit(0)))]
+    found = sample.agg(*[c.alias(f"c{k}") for k, c in enumerate(sums)]).head()
+    value = {r.name: found[2 * k] / max(1, found[2 * k + 1]) for k, r in enumerate(all_rules)}
     return sorted(all_rules, key=lambda r: -value[r.name])
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_rules: list[Rule] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, the base counts, base_failed, kept, and failed_rule (null if none).
-
-    Null and empty texts have no words and fail the base; counts cover whole texts; ties in value keep the rules' given
-    order; repeated rows are judged each; an empty table gives no rows. Repeated windows are told by 64-bit hashes within a text."""
-    order = cascade_order(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), all_rules or rules())
-    failed = F.when(base_failed(), F.lit("base"))
-    for r in order:
+    """One row per row of docs: doc_id, the base counts, base_failed, kept, and failed_rule (null if none; of several the first as
+    the rules are given, whatever order the cascade takes).
+
+    Null and empty texts have no words and fail the base; counts cover whole texts; repeated rows are judged each; an empty
+    table gives no rows. Windows whose hashes repeat are compared word by word."""
+    given = all_rules or rules()
+    kept = ~base_failed()
+    for r in cascade_order(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), given):
+        kept = F.when(kept, ~F.coalesce(r.rejects, F.lit(False))).otherwise(False)  # a rejected text reaches no later rule
+    failed = F.when(F.col("kept"), F.lit(None).cast("string")).when(base_failed(), F.lit("base"))
+    for r in given:
         failed = failed.when(F.coalesce(r.rejects, F.lit(False)), F.lit(r.name))
-    rows = measures(docs, id_col, text_col).withColumn("failed_rule", failed)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "failed_rule")
+    rows = measures(docs, id_col, text_col).withColumn("kept", kept).withColumn("failed_rule", failed)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept", "failed_rule")

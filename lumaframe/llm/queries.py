@@ -110,3 +110,22 @@ WITH d AS (
 g AS (
   SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g"""
+
+ORACLE_SQL["op10_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+g AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+cover AS (SELECT r, sum(least(8, coalesce(i - before, 8)))::BIGINT AS n FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit) GROUP BY r),
+m AS (
+  SELECT doc_id, t, words, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS marks, length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS letters
+  FROM w LEFT JOIN cover c USING (r)),
+v AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN n_words < 20 OR 100 * n_repeat_words > 30 * n_words THEN 'base' WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 'mean_word_length' WHEN 10 * n_symbols > n_words THEN 'symbols'
+      WHEN 2 * n_dup_lines > len(string_split(t, chr(10))) THEN 'duplicate_lines' WHEN 10 * marks > 3 * n_words THEN 'exclamations' WHEN 10 * upper > 3 * letters THEN 'capitals'
+      WHEN n_words >= 50 AND 5 * len(list_distinct(words)) < n_words THEN 'vocabulary' END AS failed_rule FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM v"""

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -36,6 +37,53 @@ def test_quality_rules(make_docs):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
 
 
+def brute_verdict(t):
+    """The first rule, as they are given, that a text fails; None for a text that is kept."""
+    n, chars, symbols, dup, repeat = brute_rules(t)
+    w, t = re.findall(r"[^\x20\x09-\x0D]+", t or ""), t or ""
+    of = lambda *kinds: sum(unicodedata.category(c) in kinds for c in t)
+    fails = [
+        ("base", n < 20 or 100 * repeat > 30 * n), ("mean_word_length", not 2 * n <= chars <= 20 * n), ("symbols", 10 * symbols > n), ("duplicate_lines", 2 * dup > len(t.split("\n"))),
+        ("exclamations", 10 * sum(map(t.count, "!?")) > 3 * n), ("capitals", 10 * of("Lu") > 3 * of("Lu", "Ll", "Lt", "Lm", "Lo")), ("vocabulary", n >= 50 and 5 * len(set(w)) < n),
+    ]
+    return next((name for name, fail in fails if fail), None)
+
+
+def rule_texts():
+    """Texts of which some fail each rule alone, some at its very limit, some several at once."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8)))
+    plain = lambda n=40: [word() + str(k) for k in range(n)]
+    out = [" ".join(plain()), " ".join("a" for _ in range(7)) + " " + " ".join(f"{c}" for c in "bcdefghijklmnopqrst"), " ".join(w * 9 for w in plain())]
+    out += [" ".join(plain() + ["#"] * k) for k in (3, 4, 5)] + [" ".join(plain() + ["why?!"] * k) for k in (6, 7, 12)]
+    out += ["\n".join(["same line"] * k + [" ".join(plain(9))] * 1 + [" ".join(plain(9)) for _ in range(5)]) for k in (1, 6, 8, 9)]
+    out += [" ".join([w.upper() for w in plain(k)] + plain(40 - k)) for k in (8, 12, 13, 20)]
+    few = plain(9)
+    out += [" ".join(rnd.choice(few) for _ in range(k)) for k in (45, 49, 50, 60)] + [" ".join(["WHY!", "#", "NO!"] + [w.upper() for w in plain()])]
+    return out * 2
+
+
+def test_rules_against_brute_force(make_docs):
+    texts = EDGE + rule_texts()
+    rows = quality_rules.quality_filter(make_docs(texts)).collect()
+    assert {r.doc_id: r.failed_rule for r in rows} == {i: brute_verdict(t) for i, t in enumerate(texts)}
+    assert all(r.kept == (r.failed_rule is None) for r in rows) and len({r.failed_rule for r in rows}) == 8
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch, make_docs):
+    monkeypatch.setattr(quality_rules, "HASH_BITS", 3)
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(8, 60))) for _ in range(40)] + [" ".join(f"w{i}" for i in range(60))]
+    rows = quality_rules.quality_filter(make_docs(texts)).collect()
+    assert all(r.n_repeat_words == brute_rules(texts[r.doc_id])[4] for r in rows)
+
+
+def test_cascade_order_is_repeatable(make_docs):
+    docs = make_docs(rule_texts() * 5)
+    orders = {tuple(r.name for r in quality_rules.cascade_order(docs, quality_rules.rules())) for _ in range(4)}
+    assert len(orders) == 1 and sorted(orders.pop()) == sorted(r.name for r in quality_rules.rules())
+
+
 def test_cascade_order_changes_no_verdict(make_docs):
     texts = [" ".join(f"word{i}" for i in range(40)), "WORD ONE! " * 3 + " ".join(f"W{i}!" for i in range(40)), "# ".join(f"w{i} " for i in range(40)), "the " + " ".join(f"w{i % 7}{i}" for i in range(60))]
     docs, rules = make_docs(texts * 5), quality_rules.rules()
