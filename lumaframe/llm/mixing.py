@@ -13,6 +13,8 @@ SEED = "mix-1"
 BITS = 52
 #: Sources whose tables of the distribution function (some hundred numbers each) may be broadcast.
 SOURCES = 10_000
+#: Characters that a partition of the mixture is expected to hold at most.
+PARTITION_CHARS = 64_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -39,7 +41,7 @@ def poisson_cdf(rate: Column) -> tuple[Column, Column]:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """mix_source (null: a source of its own), rows, rate: one row a source. weights: target shares of characters, on any
+    """mix_source (null: a source of its own), rows, chars, rate: one row a source. weights: target shares of characters, on any
     positive scale; None: the same for each source that has a character.
 
     Sources that weights does not name, and those without a character, get rate 0. The expected total is the total there is."""
@@ -50,18 +52,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     sums = cut(sums.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0)))
     all_chars, all_weight = sums.agg(F.sum("chars"), F.sum("weight")).head()
     rate = F.when(F.col("weight") > 0, F.col("weight") * float(all_chars or 0) / (F.col("chars") * float(all_weight or 1))).otherwise(0.0)
-    return sums.select("mix_source", "rows", rate.alias("rate"))
+    return sums.select("mix_source", "rows", "chars", rate.alias("rate"))
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, table: DataFrame | None = None) -> DataFrame:
     """docs, each row as often as drawn, with two columns more: copy (1, 2, ...) and mix_key, by which rows are in random order.
 
     A null source is a source of its own; null and empty texts count no characters but are drawn as others of their source;
     a source without a character has rate 0. A null id draws as the text ''. Rows that repeat an id draw alike.
-    Columns named copy or mix_key make the added names longer by an underscore."""
+    Columns named copy or mix_key make the added names longer by an underscore. An empty table stays empty. table: what rates()
+    gave for these documents, if that is known."""
     source_key, rows, k0, cdf, copy, key = fresh(docs, "mix_source", "rows", "k0", "cdf", "copy", "mix_key")
     known = lambda c: F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c.cast("string")))
-    table = rates(docs, weights, source_col, text_col)
+    table = rates(docs, weights, source_col, text_col) if table is None else table
     first, values = poisson_cdf(F.col("rate"))
     table = cut(table.select(known(F.col("mix_source")).alias(source_key), F.col("rows").alias(rows), first.alias(k0), values.alias(cdf)))
     drawn = docs.withColumn(source_key, known(F.col(f"`{source_col}`")))
@@ -75,8 +78,13 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     return drawn.select(*[F.col(f"`{c}`") for c in docs.columns], copy, key)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, **columns) -> DataFrame:
-    """replicate() dealt over all partitions by a hash of mix_key and sorted by it there: a global shuffle, alike at every run."""
-    out = replicate(docs, weights, **columns)
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, source_col: str = "source", text_col: str = "text", **columns) -> DataFrame:
+    """replicate() dealt over all partitions by a hash of mix_key and sorted by it there: a global shuffle, alike at every run.
+
+    Partitions are as many as a shuffle has, or more: a partition is expected to hold PARTITION_CHARS characters at most."""
+    table = rates(docs, weights, source_col, text_col)
+    expected = table.agg(F.sum(F.col("chars") * F.col("rate"))).head()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = replicate(docs, weights, source_col=source_col, text_col=text_col, table=table, **columns)
     key = out.columns[-1]
-    return out.repartition(partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    return out.repartition(partitions or max(least, int(-(-expected // PARTITION_CHARS))), key).sortWithinPartitions(key)
