@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_batches, cut, held_out
+from .common import cut, held_out, ship_code, sliced
 
 #: Random features, width of the kernel in standard deviations, ridge, and the seed of the features.
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 20240229
-#: Labelled rows that fitting and calibration read on average, and the partitions that sum the normal equations.
+#: Labelled rows that fitting and calibration read on average, and the tasks that sum their part of the normal equations.
 FIT_ROWS, CALIBRATION_ROWS, SUMS = 20_000, 10_000, 16
 THRESHOLD = 0.3
 #: The classes of characters that are counted.
@@ -56,11 +56,11 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             stats = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats, pa.list_(pa.float32()))], ["doc_id", "stats"])
 
-    arrow_batches(docs.sparkSession)
+    ship_code(docs.sparkSession)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, stats array<float>")
 
 
@@ -105,19 +105,33 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([v for v, _ in ends]), np.array([level for _, level in ends])
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model of rows doc_id, stats, label (0 or 1; none held out), about FIT_ROWS of them, calibrated on about CALIBRATION_ROWS others.
+def labelled_sample(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, stats, label, calibrates: about FIT_ROWS rows that fit and CALIBRATION_ROWS others that calibrate, in the shared folder.
 
-    With no labels every score is 0.5; with labels of one class, that class."""
+    labels: doc_id, label, one row an id. Ids are chosen by a hash before they meet their documents, so the chosen labels are few
+    enough to broadcast and nothing is shuffled by id; rows that repeat an id and statistics teach once. Where ids repeat so
+    often, with different texts, that there are more than twice as many rows, these are thinned by a hash of the row."""
     fold = F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % 4
-    sizes = dict(labelled.groupBy((fold == 0).alias("calibrates")).count().collect())
-    flat = lambda level: Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(FEATURES + 1), np.array([0.0]), np.array([level]))
+    most, unit = {False: FIT_ROWS, True: CALIBRATION_ROWS}, 1 << 20
+
+    def thinned(rows: DataFrame, sizes: dict[bool, int], *key: str) -> DataFrame:
+        below = lambda k: int(min(1.0, most[k] / max(1, sizes.get(k, 0))) * unit)
+        return rows.where(F.pmod(F.xxhash64(*key, F.lit("fit")), F.lit(unit)) < F.when(F.col("calibrates"), below(True)).otherwise(below(False)))
+
+    labels = cut(labels.withColumn("calibrates", fold == 0))
+    chosen = thinned(labels, dict(labels.groupBy("calibrates").count().collect()), "doc_id")
+    rows = cut(stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "stats"]))
+    sizes = dict(rows.groupBy("calibrates").count().collect())
+    return rows if all(n <= 2 * most[k] for k, n in sizes.items()) else thinned(rows, sizes, "doc_id", "stats")
 
-    def part(rows: Column, most: int, n: int) -> DataFrame:
-        chosen = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20))
-        return labelled.where(rows & chosen).select("stats", F.col("label").cast("double").alias("label")).coalesce(SUMS)
 
-    fitting, calibrating = cut(part(fold > 0, FIT_ROWS, sizes.get(False, 0))), cut(part(fold == 0, CALIBRATION_ROWS, sizes.get(True, 0)))
+def fit(labelled: DataFrame) -> Model:
+    """A model of the rows of labelled_sample(), few as they are: those that don't calibrate are fitted.
+
+    With no labels every score is 0.5; with labels of one class, that class."""
+    flat = lambda level: Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(FEATURES + 1), np.array([0.0]), np.array([level]))
+    part = lambda calibrates: labelled.where(F.col("calibrates") == calibrates).select("stats", F.col("label").cast("double").alias("label"))
+    fitting, calibrating = part(False), part(True)
     columns = [F.col("stats")[i].cast("double") for i in range(len(NAMES))]
     summed = fitting.agg(F.count("label"), F.avg("label"), *[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).head()
     if not summed[0]:
@@ -129,7 +143,7 @@ def fit(labelled: DataFrame) -> Model:
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((FEATURES + 1, FEATURES + 2))
-        for b in batches:
+        for b in sliced(batches):
             z = features(np.array(b.column(0).to_pylist(), float), mean, scale)
             both += z.T @ np.concatenate((z, b.column(1).to_numpy().reshape(-1, 1)), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], ["sums"])
@@ -152,12 +166,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts are scored as texts of zero statistics. Repeated rows are scored each; an empty table gives no rows."""
     stats = cut(statistics_table(docs, id_col, text_col))
     labels = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null")
-    labels = labels.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    model = fit(stats.where(~held_out(F.col("doc_id"))).join(labels, "doc_id"))
+    labels = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    model = fit(labelled_sample(stats, labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             score = shared.value.score(np.array(b.column(2).to_pylist(), float).reshape(-1, len(NAMES)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
