@@ -14,14 +14,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import HOT_SHARE, arrow_batches, cut
+from .common import HOT_SHARE, cut, ship_code, sliced
 
 #: The template's control strings.
 BOS, EOS, USER, ASSISTANT, SYSTEM, OTHER = "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "[ROLE]"
 CONTROLS = (BOS, EOS, USER, ASSISTANT, SYSTEM, "<</SYS>>", OTHER)
 HEADS = {"user": USER, "assistant": ASSISTANT, "system": SYSTEM}
-#: Code points of a streamed delta, and events that a conversation has at least before it counts as hot.
-DELTA, HOT_LEAST = 2048, 256
+#: Code points of a streamed delta and of a draft, and events that a conversation has at least before it counts as hot.
+DELTA, DRAFT, HOT_LEAST = 2048, 32, 256
 #: Kinds of events. start opens a message with a role; delta appends; edit replaces the text; regenerate empties it.
 START, APPEND, EDIT, REGENERATE = "start", "delta", "edit", "regenerate"
 
@@ -63,22 +63,31 @@ def loss_spans(formatted: str) -> list[tuple[int, int]]:
     return [m.span(3) for m in _TURN.finditer(formatted) if m[1] == ASSISTANT]
 
 
-def events(conversations: DataFrame, each_row: bool = False) -> DataFrame:
-    """conv_id, turn, seq, kind, role, text: a log of rows by turn, a start and deltas of at most DELTA code points for each row.
+def events(conversations: DataFrame, revised: bool = False) -> DataFrame:
+    """conv_id, turn, message, seq, kind, role, text: a log of rows by turn. Each row is a message: a start, then deltas of at most
+    DELTA code points.
+
+    revised: a message that has text is first streamed as a draft (its last DRAFT code points); what an assistant drafted is then
+    regenerated from nothing, any other draft edited into the text's first DELTA code points, on which the rest follows.
 
     Null roles and texts count as empty. Rows that share conversation and turn are messages one after another, in the order of
-    a hash of role and text. each_row: a message's key ends in a number of its row, so rows alike in all four are as many
-    messages; else they are one message that was logged twice."""
+    a hash of role and text; a message's key ends in a number of its row, so rows alike in all four are as many messages."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), 0), lambda x, i: F.struct(i.alias("i"), x.alias("part")))
     message = F.substring(F.sha2(F.concat_ws("\n", F.length("role").cast("string"), "role", "text"), 256), 1, 16)
-    if each_row:
-        message = F.concat(message, F.hex(F.monotonically_increasing_id()))
-    rows = rows.withColumn("message", message).withColumn("parts", F.when(F.col("text") == "", F.array().cast("array<struct<i:int,part:string>>")).otherwise(parts))
-    start = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("part"))
-    rows = rows.withColumn("part", F.explode(F.concat(F.array(start), "parts")))
-    kind = F.when(F.col("part.i") < 0, START).otherwise(APPEND)
-    return rows.select("conv_id", "turn", "message", (F.col("part.i") + 1).cast("long").alias("seq"), kind.alias("kind"), F.when(kind == START, F.col("role")).alias("role"), F.col("part.part").alias("text"))
+    rows = rows.withColumn("message", F.concat(message, F.hex(F.monotonically_increasing_id())))
+    rows = rows.withColumn("parts", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), 0)))
+    event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    none = F.lit(None)
+    deltas = lambda parts, first: F.transform(parts, lambda x, i: F.struct((i + first).alias("seq"), F.lit(APPEND).alias("kind"), x.alias("text")))
+    start, body = F.array(event(0, START, none)), deltas(F.col("parts"), 1)
+    if revised:
+        draft = event(1, APPEND, F.right("text", F.lit(DRAFT)))
+        again = F.concat(F.array(draft, event(2, REGENERATE, none)), deltas(F.col("parts"), 3))
+        edited = F.concat(F.array(draft, event(2, EDIT, F.get("parts", F.lit(0)))), deltas(F.slice("parts", 2, F.greatest(F.lit(0), F.size("parts") - 1)), 3))
+        body = F.when(F.col("text") == "", body).when(F.col("role") == "assistant", again).otherwise(edited)
+    rows = rows.withColumn("event", F.explode(F.concat(start, body)))
+    kind = F.col("event.kind")
+    return rows.select("conv_id", "turn", "message", F.col("event.seq").cast("long").alias("seq"), kind.alias("kind"), F.when(kind == START, F.col("role")).alias("role"), F.col("event.text").alias("text"))
 
 
 def split_hot(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -91,6 +100,12 @@ def split_hot(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return log.join(F.broadcast(hot), "conv_id", "left_anti").select(*log.columns), log.join(F.broadcast(hot), "conv_id", "left_semi").select(*log.columns)
 
 
+def _keys(rows: DataFrame) -> str:
+    """The columns conv_id and turn as they are declared."""
+    kinds = dict(rows.dtypes)
+    return f"conv_id {kinds['conv_id']}, turn {kinds['turn']}"
+
+
 def fold(log: DataFrame, by_conversation: bool = False) -> DataFrame:
     """conv_id, turn, message, role, text: the final messages of a log.
 
@@ -101,15 +116,16 @@ def fold(log: DataFrame, by_conversation: bool = False) -> DataFrame:
     its message in seq, kind and text was delivered twice and counts once. Events stream through a task; only one message
     at a time is held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, role, parts, done, size, last = None, "", [], [], 0, None
-        for b in batches:
+        key, role, parts, done, size, last, types = None, "", [], [], 0, None, []
+        for b in sliced(batches, 1024):
+            types = [b.schema.field(n).type for n in ("conv_id", "turn")]
             for conv, turn, message, seq, kind, r, text in zip(*(b.column(n).to_pylist() for n in ("conv_id", "turn", "message", "seq", "kind", "role", "text"))):
                 if (conv, turn, message) != key:
                     if key is not None:
                         done.append((*key, role, "".join(parts)))
                         size += len(done[-1][-1])
                         if size > 4 << 20:
-                            yield _rows(done)
+                            yield _rows(done, types)
                             done, size = [], 0
                     key, role, parts, last = (conv, turn, message), "", [], None
                 if (seq, kind, text) == last:
@@ -126,26 +142,26 @@ def fold(log: DataFrame, by_conversation: bool = False) -> DataFrame:
         if key is not None:
             done.append((*key, role, "".join(parts)))
         if done:
-            yield _rows(done)
+            yield _rows(done, types)
 
-    def _rows(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["conv_id", "turn", "message", "role", "text"])
+    def _rows(done: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (*types, pa.string(), pa.string(), pa.string()))], ["conv_id", "turn", "message", "role", "text"])
 
-    arrow_batches(log.sparkSession, 1024)
+    ship_code(log.sparkSession)
     keys = ["conv_id", "turn", "message"]
     dealt = log.repartition("conv_id") if by_conversation else log.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys, "seq", F.expr("array_position(array('start', 'regenerate', 'edit', 'delta'), kind)"), "text").mapInArrow(run, "conv_id long, turn long, message string, role string, text string")
+    return dealt.sortWithinPartitions(*keys, "seq", F.expr("array_position(array('start', 'regenerate', 'edit', 'delta'), kind)"), "text").mapInArrow(run, f"{_keys(log)}, message string, role string, text string")
 
 
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, turn, message, formatted: each message as its part of the formatted conversation, which is their concatenation
     in the order of turn and message. A message is rendered where it is; no conversation has to fit in memory."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1024):
             text = pa.array([render_turn(r, t) for r, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), text], ["conv_id", "turn", "message", "formatted"])
 
-    return messages.mapInArrow(run, "conv_id long, turn long, message string, formatted string")
+    return messages.mapInArrow(run, f"{_keys(messages)}, message string, formatted string")
 
 
 def conversations_text(rendered: DataFrame) -> DataFrame:
@@ -168,18 +184,19 @@ def digests(rendered: DataFrame, in_order: bool = False) -> DataFrame:
 
     in_order: rendered comes from fold(by_conversation=True), so nothing has to be dealt again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, done = "none", None, []
+        key, state, done, kind = None, None, [], pa.int64()
 
         def close():
             done.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         def rows():
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-        for b in batches:
+        for b in sliced(batches, 1024):
+            kind = b.schema.field(0).type
             for conv, formatted in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
-                if conv != key:
+                if conv != key or state is None:
                     if state:
                         close()
                     key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -200,7 +217,7 @@ def digests(rendered: DataFrame, in_order: bool = False) -> DataFrame:
             yield rows()
 
     order = rendered if in_order else rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message")
-    return order.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return order.mapInArrow(run, f"conv_id {dict(rendered.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def read_back(log: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations, and that of chat.planted(), logged as events of each row, folded, rendered and read back."""
+    """Conversations, and that of chat.planted(), logged as drafts that are edited or regenerated, folded, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
-    return chat.read_back(chat.events(rows, each_row=True))
+    return chat.read_back(chat.events(rows, revised=True))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
