@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..shipping import ship_code
+from ..shipping import ship_code  # noqa: F401
 
 #: ASCII white space [\x20\x09-\x0D], the separators of words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -55,10 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of so few rows that a batch of long texts stays small. Holds for the session; ships the code that needs it."""
-    ship_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows, and of so many bytes where a row is no larger, of the batches that a worker gets: what a task holds
+    does not hang on the session's Arrow settings, which nothing here changes."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * most // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

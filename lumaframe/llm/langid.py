@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 
-from .common import arrow_batches, held_out
+from .common import held_out, ship_code, sliced
 
 #: Hash buckets of n-grams, their lengths, and the weight that smoothing gives to the pool of all languages.
 BUCKETS, LENGTHS, SMOOTHING = 1 << 15, (1, 2, 3), 0.05
@@ -150,7 +150,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if has_letter(text):
                     found, n = ngram_counts(text)
@@ -159,7 +159,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             found = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found), pa.array(n[found])], ["lang", "bucket", "n"])
 
-    arrow_batches(spark)
+    ship_code(spark)
     sums = sample.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     counts[sums["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in sliced(batches):
             found = [own.shares(t or "") for t in b.column(2).to_pylist()]
             first = [next(iter(x.items()), (UNDETERMINED, 0.0)) for x in found]
             yield pa.RecordBatch.from_arrays(
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ["doc_id", "held_out", "lang_pred", "score", "shares"],
             )
 
-    arrow_batches(spark)
+    ship_code(spark)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, shares map<string,double>")
 
 
@@ -209,10 +209,10 @@ def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(at).to_pylist()
             stays = [max(own.shares(t or "").values(), default=-1.0) >= least_score for t in texts] if own.languages else [has_letter(t or "") for t in texts]
             yield b.filter(pa.array(stays, pa.bool_()))
 
-    arrow_batches(docs.sparkSession)
+    ship_code(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches
+from .common import ship_code, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -244,7 +244,7 @@ def load(path: str = MODEL) -> Pieces:
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches joined until their bytes exceed TOGETHER_BYTES: the more words are new at once, the longer numpy's arrays."""
     some: list[pa.RecordBatch] = []
-    for b in batches:
+    for b in sliced(batches):
         some.append(b)
         if sum(x.nbytes for x in some) > TOGETHER_BYTES:
             yield pa.concat_batches(some)
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
-    arrow_batches(spark)
+    ship_code(spark)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens int, token_ids array<int>, round_trip boolean")
 
 
@@ -284,8 +284,8 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else codec.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    arrow_batches(encoded.sparkSession)
+    ship_code(encoded.sparkSession)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, arrow_batches, cut, fresh, join_classes, one_each, one_row, without
+from .common import BROADCAST_ROWS, cut, fresh, join_classes, one_each, one_row, ship_code, sliced, without
 
 RADIUS, SHINGLE = 4, 4
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
@@ -47,11 +47,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp (the fingerprint of shingles of so many words as a signed long), one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    arrow_batches(docs.sparkSession)
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
@@ -210,7 +210,7 @@ def drop_near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at, (fp, least, n) = docs.columns.index(text_col), fresh(docs, "fp", "least_id", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, fp])
 

@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, arrow_batches, cut, join_classes, scratch
+from .common import BROADCAST_ROWS, cut, join_classes, scratch, ship_code, sliced
 
 #: The magic numbers of a skippable frame with a dictionary, and of a Zstandard frame.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
@@ -180,7 +180,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
 
         fs, base = pafs.FileSystem.from_uri(target)
         task, done, writer = TaskContext.get(), [], None
-        for b in batches:
+        for b in sliced(batches):
             for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if writer is None:
                     done.append(f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst")
@@ -193,7 +193,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
             writer.out.close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["name"])
 
-    arrow_batches(spark)
+    ship_code(spark)
     rows.mapInArrow(run, "name string").write.parquet(f"{path}/{MANIFEST}")
     return path
 
@@ -206,7 +206,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             for archive in b.column(0):
                 some, size = [], 0
                 for r in read_archive(archive.as_buffer()):
@@ -218,7 +218,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema)
 
-    arrow_batches(spark, 1)
+    ship_code(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
     manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
     if manifest.getFileSystem(spark._jsc.hadoopConfiguration()).exists(manifest):

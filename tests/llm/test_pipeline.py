@@ -139,3 +139,17 @@ def test_queries_return_a_row_per_document(spark, folder, name):
 def test_native_plans_have_no_python(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_operators_leave_the_session_as_it_is(spark, folder):
+    """Queries built one after another and run later, under the user's own Arrow settings."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, 37)
+    try:
+        before = dict(spark.conf.getAll)
+        made = [QUERIES[n](spark, folder) for n in ("op3_warc", "op4_language_id", "op5_chat", "op6_sentencepiece")]
+        assert [df.count() for df in made] == [40, spark.read.parquet(f"{folder}/documents.parquet").count(), 13, made[1].count()]
+        assert dict(spark.conf.getAll) == before
+    finally:
+        spark.conf.set(key, was)

@@ -237,6 +237,38 @@ def test_quality_model_held_out(spark, make_docs):
     assert quality_model.quality_scores(docs.where("false"), labels).count() == 0
 
 
+def labelled(spark, make_docs, n=400):
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice(["alpha", "beta!", "GAMMA", "$$$", "7"]) for _ in range(rnd.randint(3, 90))) for _ in range(n)]
+    stats = quality_model.statistics_table(make_docs([*texts, texts[0]]).unionByName(make_docs([texts[5]])).selectExpr("doc_id", "text"))
+    return stats, spark.createDataFrame([(i, int("$" in texts[i][:40])) for i in range(n)], "doc_id long, label int")
+
+
+def test_normal_equations_against_numpy(spark, make_docs):
+    """What partitions sum and solve is the ridge solution over all labelled rows at once."""
+    sample = quality_model.labelled_sample(*labelled(spark, make_docs))
+    model, rows = quality_model.fit(sample), sample.where("not calibrates").toPandas()
+    stats, label = np.array(rows["stats"].tolist(), float), rows["label"].to_numpy(float)
+    assert np.allclose(model.mean, stats.mean(0), atol=1e-9) and np.allclose(model.scale, np.maximum(stats.std(0), 1e-4), atol=1e-9)
+    z = quality_model.features(stats, model.mean, model.scale)
+    penalty = np.diag([quality_model.RIDGE * len(z)] * quality_model.FEATURES + [1e-9])
+    want = np.linalg.solve(z.T @ z + penalty, z.T @ label)
+    assert np.allclose(model.weights, want, rtol=1e-5, atol=1e-7)
+
+
+def test_labelled_sample_is_bounded(monkeypatch, spark, make_docs):
+    """Chosen by id; rows that repeat id and text count once; an id that many different texts share is thinned by row."""
+    stats, labels = labelled(spark, make_docs)
+    whole = quality_model.labelled_sample(stats, labels).collect()
+    assert len(whole) == 401 and {r.doc_id for r in whole} == set(range(400))  # id 0 has the text of id 5 too
+    monkeypatch.setattr(quality_model, "FIT_ROWS", 40)
+    monkeypatch.setattr(quality_model, "CALIBRATION_ROWS", 20)
+    few = quality_model.labelled_sample(stats, labels)
+    assert 25 < few.where("not calibrates").count() < 60 and 8 < few.where("calibrates").count() < 36
+    one = stats.selectExpr("cast(3 as long) as doc_id", "stats")
+    assert quality_model.labelled_sample(one, labels).count() < 80
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4, 5, 5]), np.array([0.0, 1, 0, 1, 1, 0])
     knots, levels = quality_model.isotonic(x, y)

@@ -120,7 +120,7 @@ def test_digests(spark, monkeypatch, least):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as seq", "'k' as kind")
     assert (chat.split_hot(chat.events(df))[1] is None) == (least == 256)
     got = {r.conv_id: r for r in chat.read_back(chat.events(df)).collect()}
-    turns = {1: [("user", "q" * 5000 + "é"), ("assistant", NASTY[5]), ("", "")], 2: [("system", "s"), ("assistant", "")], None: [("user", "u")], 3: [("user", "twice")]}
+    turns = {1: [("user", "q" * 5000 + "é"), ("assistant", NASTY[5]), ("", "")], 2: [("system", "s"), ("assistant", "")], None: [("user", "u")], 3: [("user", "twice")] * 2}
     assert got.keys() == turns.keys()
     for k, t in turns.items():
         said = "".join(x for r, x in t if r == "assistant")
@@ -160,3 +160,20 @@ def test_fold_of_edits_and_regenerations(spark):
     df = spark.createDataFrame(log, "conv_id long, turn long, message string, seq long, kind string, role string, text string").repartition(3)
     got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.fold(df).collect()}
     assert got == {(1, 0): ("user", "hello"), (1, 1): ("assistant", "good"), (2, 0): ("user", "fixed!"), (3, 0): ("", "no start")}
+
+
+@pytest.mark.parametrize("revised", [False, True])
+def test_events_fold_to_their_rows(spark, revised):
+    """Drafts, edits and regenerations leave the texts of the rows, whatever their length, also with conversations named by text;
+    events that are delivered twice count once."""
+    texts = ["", None, "x", "y" * chat.DRAFT, "é" * chat.DELTA, "z" * (chat.DELTA + 1), "😀ab\n" * 2000, "same", "same"]
+    rows = [(f"c{i % 3}", i % 2, role, t) for role in ("assistant", "user", None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    log = chat.events(df, revised=revised)
+    kinds = {r.kind for r in log.select("kind").distinct().collect()}
+    assert kinds == ({"start", "delta", "edit", "regenerate"} if revised else {"start", "delta"})
+    folded = chat.fold(log.unionByName(log))
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in folded.collect())
+    assert got == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+    back = chat.read_back(log).collect()
+    assert {r.conv_id: r.n_turns for r in back} == {"c0": 9, "c1": 9, "c2": 9}
