@@ -40,13 +40,20 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that operators wrote for this context so far, and how many. Results read from them must be done with."""
-    made = spark.sparkContext.__dict__.pop("_llm_scratch", [])
-    for at in made:
+def made(spark: SparkSession) -> int:
+    """How many scratch tables of this context there are; release() takes it as a mark."""
+    return len(spark.sparkContext.__dict__.get("_llm_scratch", []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Deletes the tables that operators wrote for this context, but for the first `since` and the one named, and how many.
+    Results read from them must be done with."""
+    paths = spark.sparkContext.__dict__.setdefault("_llm_scratch", [])
+    gone, paths[since:] = [x for x in paths[since:] if x != keep], [x for x in paths[since:] if x == keep]
+    for at in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(made)
+    return len(gone)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -95,15 +102,6 @@ def without(df: DataFrame, key: str, drop: DataFrame, most: int = BROADCAST_ROWS
     return df.join(F.broadcast(drop) if drop.count() <= most else drop, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def one_each(df: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
-    """df with one row for each key that repeated (one column) lists; the other rows as they are."""
-    if not repeated.head(1):
-        return df
-    again = repeated.toDF(key).distinct()
-    rows = df.join(again, key, "left_semi").select(*df.columns)
-    return df.join(again, key, "left_anti").select(*df.columns).unionByName(rows.dropDuplicates([key]))
-
-
 def one_row(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """df without its column key, and one row for each key: that with the longest text, then by text and a hash of the other columns."""
     names = [c for c in df.columns if c != key]
@@ -116,10 +114,3 @@ def one_row(df: DataFrame, key: str, text_col: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
-def dense(table: DataFrame, column: str, values: dict) -> Column:
-    """The value that a small dict of the driver has for a column; null if it has none."""
-    if not values:
-        return F.lit(None)
-    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column))

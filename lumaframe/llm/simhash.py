@@ -3,44 +3,87 @@
 Distinct fingerprints are dealt into tiles by their population count (set bits). Two fingerprints within the radius have
 counts that differ by the radius at most, so only tiles of such counts meet; inside a pair of tiles the same bound, on the
 counts of the four 16-bit quarters, skips sub-tiles. What is left is compared by exclusive-or and bit counts in numpy.
-A pair of tiles gives a spanning forest of its links, not the links: the classes are the same."""
+A pair of tiles gives a spanning forest of its links, not the links: the classes are the same.
+
+drop_similar() takes fingerprints as candidates only: pairs within a wide radius whose MinHash sketches agree are confirmed by the
+Jaccard similarity of their shingles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, cut, fresh, join_classes, one_each, one_row, ship_code, sliced, without
+from .common import BROADCAST_ROWS, cut, fresh, join_classes, one_row, ship_code, sliced, without
 
 RADIUS, SHINGLE = 4, 4
+#: drop_similar(): words of a shingle, least Jaccard similarity, radius of candidates. Of pairs at the least similarity all but a
+#: hundredth differ in no more bits.
+SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 16
+#: Values of a sketch, one a bin of hashes; how far its estimate may lie under the least similarity, three standard errors; tiles
+#: aimed at; candidates of two tiles that are sorted together.
+SKETCH, SLACK, SKETCH_TILES, SORTED = 128, 0.1, 24, 1 << 20
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
 TILE_LEAST, TILE_MOST, TILES = 2048, 262_144, 48
 #: Comparisons made at once in numpy, and shingles whose bits are counted at once.
 BLOCK, CHUNK = 1 << 16, 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of a whole text; 0 for one without words."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The unsigned XXH64 of each shingle of a whole text, repeats included, CHUNK at a time; no array for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if 0 < len(words) <= shingle:
+        yield np.array([digest(line, 42)], np.uint64)
     if len(words) <= shingle:
-        return digest(line, 42)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
     ends = (ends[shingle - 1 :] - 1).tolist()
-    ones = np.zeros(64, np.int64)
     for i in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int((1 << np.flatnonzero(2 * ones > len(starts)).astype(np.uint64)).sum(dtype=np.uint64)) if (2 * ones > len(starts)).any() else 0
+        yield np.array([digest(line[a:b], 42) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], np.uint64)
+
+
+def _majority(chunks: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in chunks:
+        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of a whole text; 0 for one without words."""
+    return _majority(shingle_hashes(text, shingle))
+
+
+def profile(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[int, bytes]:
+    """A text's fingerprint, and its sketch: of the hashes in each bin (by their leading bits) a byte of the least, 0 for an empty bin."""
+    least, shift = np.full(SKETCH, np.iinfo(np.uint64).max), np.uint64(64 - (SKETCH - 1).bit_length())
+    chunks = list(shingle_hashes(text, shingle))
+    for hashes in chunks:
+        sort = np.sort(hashes)
+        bins, first = np.unique(sort >> shift, return_index=True)
+        at = bins.astype(np.int64)
+        least[at] = np.minimum(least[at], sort[first])
+    values = np.where(least == np.iinfo(np.uint64).max, 0, least % np.uint64(255) + np.uint64(1))
+    return _majority(chunks), values.astype(np.uint8).tobytes()
+
+
+def jaccard(a: str | None, b: str | None, shingle: int = SIMILAR_SHINGLE) -> float:
+    """Of the distinct shingles of two whole texts, the share that both have; 1 for two texts without words."""
+
+    def shingles(text: str | None) -> set[tuple[bytes, ...]]:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return set(zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else {tuple(words)} - {()}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -104,28 +147,117 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tu
     return nodes[inner].view(np.int64), nodes[forest.label[inner]].view(np.int64)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: links that span the classes of fingerprints (column fp, distinct) within the radius of each other."""
+def tile_pairs(distinct: DataFrame, radius: int, aimed: int, columns: list[str]) -> DataFrame:
+    """a, b, and a list of each column: the tiles of rows (column fp among them) that must meet, dealt to tasks by (a, b).
+
+    A tile that meets another comes as a row from each side, one that meets itself as one row."""
     spark = distinct.sparkSession
     counts = dict(distinct.groupBy(F.bit_count("fp").alias("bits")).count().collect())  # 65 rows at most
     total = sum(counts.values())
-    tile = min(TILE_MOST, max(TILE_LEAST, -(-total // TILES)))
+    tile = min(TILE_MOST, max(TILE_LEAST, -(-total // aimed)))
     chunks = [-(-counts.get(c, 0) // tile) for c in range(65)]
     first = np.concatenate(([0], np.cumsum(chunks))).tolist()  # the tiles of count c are first[c] to first[c + 1] - 1
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bits") + 1)
-    tiles = distinct.select("fp", F.bit_count("fp").alias("bits")).withColumn("tile", at(first[:65]) + F.pmod(F.xxhash64("fp"), at([max(1, n) for n in chunks])))
-    tiles = tiles.groupBy("tile", "bits").agg(F.collect_list("fp").alias("fps"))
+    tiles = distinct.select(*columns, F.bit_count("fp").alias("bits")).withColumn("tile", at(first[:65]) + F.pmod(F.xxhash64(*columns), at([max(1, n) for n in chunks])))
+    tiles = tiles.groupBy("tile", "bits").agg(*[F.collect_list(c).alias(c) for c in columns])
     low, high = ([first[max(0, c - radius)] for c in range(65)], [first[min(65, c + radius + 1)] - 1 for c in range(65)])
-    pairs = tiles.select("tile", "fps", F.explode(F.sequence(at(low), at(high))).alias("other"))
-    pairs = pairs.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "fps")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, first[65]))
+    pairs = tiles.select("tile", *columns, F.explode(F.sequence(at(low), at(high))).alias("other"))
+    pairs = pairs.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), *columns)
+    return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, first[65])), "a", "b")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: links that span the classes of fingerprints (column fp, distinct) within the radius of each other."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["fps"]]
+        sides = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["fp"]]
         u, v = tile_forest(sides[0], sides[1] if len(sides) > 1 else None, radius)
         return pd.DataFrame({"u": u, "v": v})
 
-    return pairs.repartition(n, "a", "b").groupBy("a", "b").applyInPandas(run, "u long, v long")
+    return tile_pairs(distinct, radius, TILES, ["fp"]).groupBy("a", "b").applyInPandas(run, "u long, v long")
+
+
+class Spanning:
+    """The edges that link nodes, the most similar first, as far as they are offered together: a spanning forest."""
+
+    def __init__(self, n: int):
+        self.parent, self.label, self.edges = list(range(n)), np.arange(n), []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def offer(self, i: np.ndarray, j: np.ndarray, similar: np.ndarray) -> None:
+        self.held.append((i, j, similar))
+        if sum(len(x) for x, _, _ in self.held) > SORTED:
+            self.settle()
+
+    def settle(self) -> list[tuple[int, int]]:
+        if self.held:
+            i, j, similar = (np.concatenate(x) for x in zip(*self.held))
+            self.held = []
+            order = np.argsort(-similar, kind="stable")
+            for a, b in zip(i[order].tolist(), j[order].tolist()):
+                x, y = self._root(a), self._root(b)
+                if x != y:
+                    self.parent[max(x, y)] = min(x, y)
+                    self.edges.append((a, b))
+            self.label = np.array([self._root(k) for k in range(len(self.parent))])
+        return self.edges
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimate that pairs of sketches (rows of bytes) give of their texts' Jaccard similarity."""
+    some = ((a | b) > 0).sum(1)
+    return np.where(some > 0, ((a == b) & (a > 0)).sum(1) / np.maximum(1, some), 1.0)
+
+
+def similar_edges(fps: np.ndarray, sketches: np.ndarray, split: int, radius: int = WIDE, least: float = SIMILARITY - SLACK) -> list[tuple[int, int]]:
+    """Positions of pairs, one before `split` and one after it (any two if that is 0), within the radius, whose sketches agree
+    to `least`: those that span the classes of all such pairs."""
+    out = Spanning(len(fps))
+    rows, columns = (fps[:split], fps[split:]) if split else (fps, fps)
+    step = max(1, BLOCK // max(1, len(columns)))
+    for k in range(0, len(rows), step):
+        past = 0 if split else k
+        x, y = np.nonzero(np.bitwise_count(rows[k : k + step, None] ^ columns[None, past:]) <= radius)
+        i, j = x + k, y + (split or past)
+        for part in range(0, len(i), CHUNK):
+            u, v = i[part : part + CHUNK], j[part : part + CHUNK]
+            open_ = (out.label[u] != out.label[v]) & (u < v)
+            u, v = u[open_], v[open_]
+            if len(u):
+                similar = sketch_similarity(sketches[u], sketches[v])
+                near = similar >= least
+                out.offer(u[near], v[near], similar[near])
+    return out.settle()
+
+
+def similar_links(nodes: DataFrame, radius: int = WIDE, least: float = SIMILARITY - SLACK) -> DataFrame:
+    """u, v: pairs of nodes (columns node, fp, sketch) that span the classes of similar ones, pair of tiles by pair of tiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = [[table.column(c)[k].values for c in ("node", "fp", "sketch")] for k in range(table.num_rows)]
+        ids, fps = (np.concatenate([x[c].to_numpy() for x in sides]) for c in (0, 1))
+        sketches = np.frombuffer(b"".join(v for x in sides for v in x[2].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        edges = similar_edges(fps.view(np.uint64), sketches, len(sides[0][0]) if len(sides) > 1 else 0, radius, least)
+        return pa.table({"u": pa.array([int(ids[a]) for a, _ in edges], pa.int64()), "v": pa.array([int(ids[b]) for _, b in edges], pa.int64())})
+
+    return tile_pairs(nodes, radius, SKETCH_TILES, ["node", "fp", "sketch"]).groupBy("a", "b").applyInArrow(run, "u long, v long")
+
+
+def confirmed(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """The edges (u, v) whose texts (node, text) have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield b.select(["u", "v"]).filter(pa.array([jaccard(x, y, shingle) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_()))
+
+    ship_code(edges.sparkSession)
+    pairs = edges.join(texts.toDF("u", "one"), "u").join(texts.toDF("v", "other"), "v").select("u", "v", "one", "other")
+    return pairs.mapInArrow(run, "u long, v long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -182,15 +314,6 @@ def _classes(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each class, that with the smallest id; all columns as they were. Rows without an id stay;
-    rows that repeat the id that stays leave one."""
-    classes = cut(near_classes(docs, id_col, text_col, radius, shingle).select("doc_id", "component_id"))
-    stay = classes.where("doc_id = component_id").groupBy("doc_id").count()
-    drop = classes.where("doc_id <> component_id").select("doc_id").distinct().join(stay.select("doc_id"), "doc_id", "left_anti")
-    return one_each(without(docs, id_col, cut(drop)), id_col, cut(stay.where("count > 1").select("doc_id")))
-
-
-def drop_near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """docs with exactly one row of each class, whatever its id: that with the smallest id, then fingerprint, a null id last; of
     several alike in both, that of common.one_row(). All columns as they were.
 
@@ -218,3 +341,41 @@ def drop_near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = classes.where("first").select(F.col("fp").alias(fp), F.col("n").alias(n), F.col("least_id").alias(least))
     judged = join_classes(judged, firsts, fp, n, total, "inner").where(F.col(id_col).eqNullSafe(F.col(least)))
     return own.unionByName(one_row(judged.drop(least, n), fp, text_col))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = WIDE) -> DataFrame:
+    """docs with exactly one row of each class of similar texts: that with the smallest id, a null id last, then the longest text.
+    All columns as they were.
+
+    Two texts are linked if their shingles (lower-cased A-Z) have at least that Jaccard similarity, and classes are what links
+    reach. Candidates are pairs of fingerprints within the radius; their sketches choose a spanning forest of the likely links, and
+    each of its links is confirmed on the texts, so no two texts are linked that aren't similar. Null and empty texts, and those of
+    white space, are alike. Texts that share an id, and rows without one, are judged each; rows that repeat in all columns leave one.
+    An empty table stays empty. Comparison is quadratic in distinct texts."""
+    fp, sketch, row = fresh(docs, "fp", "sketch", "row")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            made = [profile(t.as_py(), shingle) for t in b.column(at)]
+            fps = np.array([x for x, _ in made], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64()), pa.array([x for _, x in made], pa.binary())], [*b.schema.names, fp, sketch])
+
+    ship_code(docs.sparkSession)
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType()), StructField(sketch, BinaryType())]))
+    marked = cut(marked.withColumn(row, F.monotonically_increasing_id()))
+    ident, size = F.col(f"`{id_col}`"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    rows = marked.select(F.concat(F.unhex(F.lpad(F.hex(fp), 16, "0")), sketch).alias("profile"), F.col(fp).alias("fp"), F.col(sketch).alias("sketch"), F.struct(ident.isNull().alias("no_id"), ident.alias("id"), (-size).alias("less"), F.col(row).alias("row")).alias("best"))
+    nodes = rows.groupBy("profile").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    edges = cut(similar_links(nodes, radius, max(0.0, similarity - SLACK)).distinct())
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(nodes.select("node", "best.row"), "node")
+    texts = cut(marked.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")).join(ends, "row").select("node", "text"))
+    roots = connected(cut(confirmed(edges, texts, similarity, shingle)))
+    linked = cut(nodes.select("node", "profile", "best", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sums = cut(linked.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("many")).where("rows > 1"))
+    classes = cut(join_classes(linked.select("root", "profile", "n"), sums.select("root", F.col("first.row").alias("stays"), "many"), "root", "many", linked.count(), "inner"))
+    total = marked.count()
+    judged = join_classes(rows.select("profile", "best.row"), classes.select("profile", "n", "stays"), "profile", "n", total, "inner")
+    out = without(marked, row, cut(judged.where("row <> stays").select("row")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

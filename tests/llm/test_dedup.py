@@ -63,15 +63,15 @@ def test_drop_copies_by_row(monkeypatch, make_docs, broadcast):
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
 
 
-def test_drop_near_rows(make_docs):
+def test_drop_near_by_row(make_docs):
     """One row a class: texts that share an id both stay, and so does one of those without an id."""
     a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
     rows = [(1, a), (1, b), (2, c), (3, c.upper()), (3, d), (None, e), (None, e.upper()), (None, a), (7, d.upper())]
     docs = make_docs([(i, t, "en", "s") for i, t in rows])
-    kept = simhash.drop_near_rows(docs)
+    kept = simhash.drop_near(docs)
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert kept.columns == docs.columns and sorted(str((i, t.lower())) for i, t in got) == sorted(map(str, [(1, a), (1, b), (2, c), (3, d), (None, e)]))
-    assert simhash.drop_near_rows(docs.where("false")).count() == 0
+    assert simhash.drop_near(docs.where("false")).count() == 0
 
 
 def test_empty(make_docs):
@@ -116,7 +116,8 @@ def test_near_classes(make_docs):
     got = simhash.near_classes(make_docs(rows)).collect()
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
     kept = simhash.drop_near(make_docs(rows).where("doc_id is not null"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({v for v in least.values() if v is not None})
+    classes = {k for k, r in zip(label, rows) if r[0] is not None}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least[k] for k in classes)
 
 
 def test_shingle_and_radius(make_docs):
@@ -149,3 +150,74 @@ def test_connected_chain_and_star(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 100 for i in range(101, 180)) and all(got[i] == 5 for i in range(6, 40)) and all(got[i] == 201 for i in range(202, 210))
     assert not got.keys() & {100, 5, 201}
+
+
+def similar_rows():
+    """Texts with near copies of many similarities, a chain of copies of copies, a large group, and short texts."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(900)]
+    out = []
+    for k in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.randint(6, 400))]
+        out.append(" ".join(base))
+        for n in (1, 2, 3, 5, 8):
+            copy = list(base)
+            for _ in range(n):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            out.append("\n".join(copy).upper() if n == 2 else " ".join(copy))
+    chain = [rnd.choice(words) for _ in range(150)]
+    for k in range(12):
+        chain = [*chain[:k * 10], "new", str(k), *chain[k * 10 + 2:]]
+        out.append(" ".join(chain))
+    base = [rnd.choice(words) for _ in range(120)]
+    out += [" ".join([*base[:k], "x", *base[k + 1:]]) for k in range(120)]
+    return out + ["a", "A", "a b c d e", "a b c d e f", "a b c d f", None, "", " \n"]
+
+
+def brute_similar(texts, least=0.8):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label, links = [shingles(t) for t in texts], list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            if not sets[i] and not sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) > 0:
+                links.append((j, i))
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label, links
+
+
+def test_drop_similar(make_docs):
+    """Against brute force: whatever is dropped has a row that stays in its class, and nearly all that should go is gone."""
+    texts = similar_rows()
+    label, links = brute_similar(texts)
+    docs = make_docs(texts)
+    kept = simhash.drop_similar(docs)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and len(ids) == len(set(ids))
+    least = set(label)
+    assert least <= set(ids)  # the smallest id of each class stays: nothing is dropped without a link
+    assert len(set(ids) - least) <= 0.02 * (len(texts) - len(least)), sorted(set(ids) - least)
+
+
+def test_drop_similar_by_row(make_docs):
+    """Texts that share an id are judged each, null ids too; copies of all columns leave one; empty tables stay empty."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " tail"), (None, c), (None, c.upper() + " tail"), (3, b), (1, a), (4, None), (5, ""), (6, c + " end")]
+    docs = make_docs([(i, t, "en", "s") for i, t in rows])
+    got = sorted(str((r.doc_id, r.text)) for r in simhash.drop_similar(docs).collect())
+    assert got == sorted(map(str, [(1, a), (1, b), (4, None), (6, c + " end")]))
+    assert simhash.drop_similar(docs.where("false")).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    texts = similar_rows()[:360]
+    made = [simhash.profile(t) for t in texts]
+    assert all(fp == fingerprint(t, 5) for (fp, _), t in zip(made, texts))
+    sketches = np.array([np.frombuffer(x, np.uint8) for _, x in made])
+    i, j = np.triu_indices(len(texts), 1)
+    off = [abs(e - simhash.jaccard(texts[a], texts[b])) for a, b, e in zip(i, j, simhash.sketch_similarity(sketches[i], sketches[j])) if a // 6 == b // 6]
+    assert np.mean(off) < 0.03 and np.quantile(off, 0.99) < 0.1

@@ -10,7 +10,6 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-import xxhash
 
 import corpus_pipeline
 from lumaframe.llm import langid, sentencepiece_viterbi
@@ -56,19 +55,15 @@ def plain_exact(rows):
 
 
 def plain_near(rows):
-    def fingerprint(t):
-        w = t.lower().encode().split()
-        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    fps, label = [fingerprint(r["text"]) for r in rows], list(range(len(rows)))
-    for _ in rows:
-        for i in range(len(rows)):
-            for j in range(i):
-                if bin(fps[i] ^ fps[j]).count("1") <= 4:
-                    label[i] = label[j] = min(label[i], label[j])
-        if all(label[label[i]] == label[i] for i in label):
-            break
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, label = [shingles(r["text"]) for r in rows], list(range(len(rows)))
+    links = [(j, i) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
     least = {}
     for r, k in zip(rows, label):
         least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
@@ -114,6 +109,24 @@ def test_stages_against_plain_versions(spark, folder):
     assert release(spark) > 5
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, nulls in every column, columns with clashing names, very long texts, and no rows at all."""
+    words = {k: " ".join(f"{w}{i}" for i in range(40) for w in WORDS[k]) for k in WORDS}
+    rows = [(i, f"{words[k]} {i} " + "x" * (i % 3), k, "src0", 0) for i in range(30) for k in WORDS]
+    rows += [(None, words["en"] + " alpha beta gamma " * 90, "en", None, None), (None, words["de"] + " ende wende " * 70, None, "src1", 5), (7, words["en"] * 60, "en", "src1", 1), (7, words["en"] * 60, "en", "src1", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'a' as fp", "2 as sketch", "3 as row", "'b' as text_sha256", "1.5 as mix_key", "'c' as keep_id", "0 as copy")
+    for name, table in (("some", docs), ("none", docs.where("false"))):
+        table.repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        kept = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, kept, "")
+            assert out.columns == docs.columns, stage
+            kept = spark.createDataFrame(out.collect(), out.schema)
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.count() == kept.count() and (got.count() > 0) == (name == "some")
+    assert release(spark)
+
+
 def clean(df):
     value = lambda v: None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
     return sorted(str([value(v) for v in r]) for r in df[sorted(df.columns)].itertuples(index=False))
