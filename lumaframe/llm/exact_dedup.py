@@ -1,54 +1,118 @@
 """Exact deduplication by a log-structured merge index, in DataFrame operations only.
 
-Memtables are the scan's partitions: each is sorted by digest and flushed as one run, a Parquet file whose footer has a
-Bloom filter of its digests and their least and greatest. Compaction merges runs and keeps, for each digest, the row
-that stays and the number of rows. Hits (digests of several rows) are verified byte by byte."""
+Rows are logged in batches. A batch is a memtable: it is flushed as one run of distinct digests, sorted, with the row that stays and
+the number of rows of each, and with a filter, a bitmap of hashed digests. Compaction merges runs level by level: a digest that no
+other run's filter may hold goes over as it is, the rest meet in a shuffle, where the smallest identifier is kept. Hits (digests
+of several rows) are verified byte by byte."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import BROADCAST_ROWS, SPACES, cut, fresh, join_classes, one_row, scratch
 
-RUN = "digest binary, n_cp int, doc_id {id}"
+#: Batches that exact_groups() logs, and runs that one step of compaction merges.
+BATCHES, FAN_IN = 4, 4
+#: Bits of a filter's bitmap (of the bitmap functions), bits for each digest, and bytes of the filters that may be broadcast at once.
+BITMAP, BITS, FILTER_BYTES = 32_768, 16, 64 << 20
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+@dataclass(frozen=True)
+class Run:
+    """A run in the shared folder: its table, its filter (bucket, bits), and how many digests and buckets these have."""
+
+    path: str
+    level: int
+    digests: int
+    buckets: int
+
+
 class DigestIndex:
-    """Sorted runs of (digest, n_cp, doc_id) under a folder of the shared storage, merged into one compacted level."""
+    """Runs of distinct digests under a folder of the shared storage. A run's row: digest, less (minus the code points), no_id,
+    doc_id of the row that stays, and n, the rows of that digest."""
 
     def __init__(self, spark: SparkSession, id_type: str = "bigint", path: str | None = None, digest_bits: int = 256):
-        self.spark, self.bytes, self.schema = spark, digest_bits // 8, RUN.format(id=id_type)
+        self.spark, self.bytes, self.id_type = spark, digest_bits // 8, id_type
         self.path = path or scratch(spark, "lsm")
-        self.runs: list[str] = []
+        self.runs: list[Run] = []
+        self.made = 0
 
     def digest(self, text: Column) -> Column:
         return F.substring(F.unhex(F.sha2(normalised(text), 256)), 1, self.bytes)
 
-    def flush(self, rows: DataFrame) -> None:
-        """rows: digest, n_cp, doc_id. Each partition is a memtable; it becomes a sorted run with a filter."""
-        at = f"{self.path}/level=0/{len(self.runs)}"
-        rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(at)
-        self.runs.append(at)
-
-    def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.runs)
+    def log(self, rows: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
+        """rows (digest, n_cp, doc_id) written once, in as many batches, each the rows of some of the scan's partitions."""
+        at = f"{self.path}/log-{self.made}"
+        self.made += 1
+        rows.withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(batches))).write.partitionBy("batch").parquet(at)
+        logged = self.spark.read.schema(f"digest binary, n_cp int, doc_id {self.id_type}, batch int").parquet(at)
+        return [logged.where(F.col("batch") == k).drop("batch") for k in range(batches)]
+
+    def flush(self, rows: DataFrame) -> Run:
+        """A batch of rows (digest, n_cp, doc_id) as a run of level 0."""
+        ready = rows.select("digest", (-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.lit(1).cast("long").alias("n"))
+        return self._write(self._merge(ready), 0)
+
+    @staticmethod
+    def _merge(rows: DataFrame) -> DataFrame:
+        """For each digest the smallest (less, no_id, doc_id), so a null id comes last, and all its rows."""
+        best = rows.groupBy("digest").agg(F.min(F.struct("less", "no_id", "doc_id")).alias("best"), F.sum("n").alias("n"))
+        return best.select("digest", "best.*", "n")
+
+    def _write(self, rows: DataFrame, level: int) -> Run:
+        at = f"{self.path}/level={level}/{self.made}"
+        self.made += 1
+        rows.sortWithinPartitions("digest").write.parquet(f"{at}/digests")
+        digests = self._table(at).count()
+        run = Run(at, level, digests, max(1, -(-digests * BITS // BITMAP)))
+        bucket, bit = self._place(run)
+        self._table(at).groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits")).write.parquet(f"{at}/filter")
+        self.runs.append(run)
+        return run
+
+    def _table(self, at: str) -> DataFrame:
+        return self.spark.read.schema(f"digest binary, less int, no_id boolean, doc_id {self.id_type}, n long").parquet(f"{at}/digests")
+
+    @staticmethod
+    def _place(run: Run) -> tuple[Column, Column]:
+        slot = F.pmod(F.xxhash64("digest"), F.lit(run.buckets * BITMAP))
+        return F.floor(slot / BITMAP), slot % BITMAP
+
+    def probe(self, rows: DataFrame, others: list[Run], name: str = "maybe") -> DataFrame:
+        """rows with a column more: whether one of these runs may hold the digest, by their filters. Filters of over FILTER_BYTES
+        in all are not broadcast: then any digest may be held."""
+        if sum(r.buckets for r in others) * (BITMAP // 8) > FILTER_BYTES:
+            return rows.withColumn(name, F.lit(True))
+        kept, maybe = rows.columns, F.lit(False)
+        for k, run in enumerate(others):
+            bucket, bit = self._place(run)
+            filter_ = self.spark.read.schema("bucket long, bits binary").parquet(f"{run.path}/filter").toDF(f"bucket{k}", f"bits{k}")
+            rows = rows.withColumn(f"bucket{k}", bucket).withColumn(f"bit{k}", bit).join(F.broadcast(filter_), f"bucket{k}", "left")
+            byte = F.conv(F.hex(F.substring(f"bits{k}", F.floor(F.col(f"bit{k}") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+            maybe = maybe | F.coalesce(F.getbit(byte, (F.col(f"bit{k}") % 8).cast("int")) == 1, F.lit(False))
+        return rows.select(*kept, maybe.alias(name))
+
+    def find(self, digests: DataFrame) -> DataFrame:
+        """The rows of runs that hold one of the digests (a column), each run asked only for those that its filter may hold."""
+        found = [self._table(r.path).join(self.probe(digests.select("digest").distinct(), [r]).where("maybe").select("digest"), "digest", "left_semi") for r in self.runs]
+        return reduce(DataFrame.unionByName, found)
 
     def compact(self) -> DataFrame:
-        """For each digest the smallest (-n_cp, doc_id), a null id last, and the number of rows; sorted runs again."""
-        best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best")
-        merged = self.rows().groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
-        at = f"{self.path}/level=1/{len(self.runs)}"
-        merged = merged.select("digest", F.col("best.doc_id").alias("keep_id"), "group_size")
-        merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(at)
-        return self.spark.read.schema(merged.schema).parquet(at)
-
-    def probe(self, digests: list[bytes]) -> DataFrame:
-        """Rows of the runs with one of these digests; files whose filter or range excludes them all are skipped."""
-        return self.rows().where(F.col("digest").isin([bytearray(x) for x in digests]))
+        """digest, keep_id, group_size of all that was flushed: FAN_IN runs of the lowest levels become one of the next, until one is left."""
+        while len(self.runs) > 1:
+            self.runs.sort(key=lambda r: r.level)
+            some, self.runs = self.runs[:FAN_IN], self.runs[FAN_IN:]
+            rows = reduce(DataFrame.unionByName, [self.probe(self._table(r.path), [x for x in some if x is not r]) for r in some])
+            alone, shared = rows.where("not maybe").drop("maybe"), rows.where("maybe").drop("maybe")
+            self._write(alone.unionByName(self._merge(shared)), some[-1].level + 1)
+        return self._table(self.runs[0].path).select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
@@ -61,11 +125,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = DigestIndex(spark, dict(docs.dtypes)[id_col], digest_bits=digest_bits)
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    index.flush(docs.select(index.digest(F.col("text")).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_cp"), "doc_id"))
-    merged = index.compact()
-    total = index.rows().count()
-    hits = merged.where("group_size > 1")
-    found = cut(join_classes(index.rows().select("digest", "doc_id"), hits, "digest", "group_size", total))
+    batches = index.log(docs.select(index.digest(F.col("text")).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_cp"), "doc_id"))
+    for batch in batches:
+        index.flush(batch)
+    hits = index.compact().where("group_size > 1")
+    rows = reduce(DataFrame.unionByName, batches).select("digest", "doc_id")
+    found = cut(join_classes(rows, hits, "digest", "group_size", rows.count()))
     collided = _verify(docs, found, index)
     out = found.select(
         "digest", "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -36,15 +36,29 @@ def test_groups(make_docs, bits):
     assert sorted(map(str, got)) == sorted(map(str, brute_groups(rows)))
 
 
-def test_index_probe(spark, make_docs):
-    index = exact_dedup.DigestIndex(spark)
-    docs = make_docs(["one", "two", "three"])
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_index_in_batches(monkeypatch, spark, make_docs, most):
+    """Batches flushed, compacted, and more flushed later give what all rows give at once; filters miss nothing, also unused ones."""
     from pyspark.sql import functions as F
 
-    for part in (docs.where("doc_id < 2"), docs.where("doc_id = 2")):
-        index.flush(part.select(index.digest(F.col("text")).alias("digest"), F.length("text").alias("n_cp"), "doc_id"))
-    assert index.rows().count() == 3 and index.compact().count() == 3
-    assert [r.doc_id for r in index.probe([hashlib.sha256(b"two").digest()]).collect()] == [1]
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", most)
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, rnd.randrange(4000)]), f"t{rnd.randrange(1500)}" + " " * rnd.randrange(3)) for _ in range(3000)]
+    docs = make_docs([(i, t, "en", "s") for i, t in rows])
+    index = exact_dedup.DigestIndex(spark)
+    batches = index.log(docs.select(index.digest(F.col("text")).alias("digest"), F.length("text").alias("n_cp"), "doc_id"), 3)
+    index.flush(batches[0])
+    index.flush(batches[1])
+    assert index.compact().count() == len({t.strip() for t in index._table(index.runs[0].path).toPandas()["digest"].map(bytes).tolist()}) and [r.level for r in index.runs] == [1]
+    new = batches[2].select("digest").distinct()
+    maybe = {bytes(r.digest): r.maybe for r in index.probe(new, index.runs).collect()}
+    held = {bytes(r.digest) for r in index._table(index.runs[0].path).collect()}
+    assert all(maybe[x] for x in maybe.keys() & held) and (most == 0 or sum(maybe[x] for x in maybe.keys() - held) < 0.2 * len(maybe.keys() - held) + 3)
+    assert {bytes(r.digest) for r in index.find(new).collect()} == held & maybe.keys()
+    index.flush(batches[2])
+    got = {bytes(r.digest).hex(): (r.keep_id, r.group_size) for r in index.compact().collect()}
+    assert got == {sha: (keep, size) for _, keep, size, _, sha in brute_groups(rows)}
 
 
 def test_drop_copies(make_docs):
