@@ -107,6 +107,22 @@ def exact_fit_grid(width: Column, height: Column, frame_width: Column, frame_hei
     return F.struct(columns.alias("columns"), rows.alias("rows"), (width / columns).cast("bigint").alias("frame_width"), (height / rows).cast("bigint").alias("frame_height"))
 
 
+def _parts(width: Column, height: Column, across: Column, down: Column, names: tuple[str, str]) -> Column:
+    ok = (width > 0) & (height > 0) & (across > 0) & (down > 0)
+    whole = lambda a, b: F.when(ok, F.floor(a / b).cast("bigint"))
+    return F.struct(whole(width, across).alias(names[0]), whole(height, down).alias(names[1]))
+
+
+def grid_from_frame_size(width: Column, height: Column, frame_width: Column, frame_height: Column) -> Column:
+    """columns, rows of whole frames of a size in an image; null where a size isn't positive."""
+    return _parts(width, height, frame_width, frame_height, ("columns", "rows"))
+
+
+def frame_size_from_grid(width: Column, height: Column, columns: Column, rows: Column) -> Column:
+    """frame_width, frame_height of the frames that a grid cuts an image into; null where a number isn't positive."""
+    return _parts(width, height, columns, rows, ("frame_width", "frame_height"))
+
+
 def grid_state(width: Column, height: Column, frame_width: Column, frame_height: Column, rows: Column, columns: Column) -> Column:
     """valid, invalid, exceeds or uncovered."""
     positive = (frame_width > 0) & (frame_height > 0) & (rows > 0) & (columns > 0)
@@ -211,6 +227,7 @@ def atlas_format(app: Column, has_textures: Column, has_animations: Column, vari
 
 
 def atlas_label(family: Column, variant: Column) -> Column:
+    # fixed values: the labels
     tool = F.when(variant == "array", "TexturePacker Array").when(variant == "hash", "TexturePacker Hash").otherwise("TexturePacker")
     pixi = F.when(variant == "multiatlas", "Phaser Multi-Atlas").otherwise("Phaser/Pixi-compatible atlas")
     return F.when(family == "aseprite", "Aseprite JSON").when(family == "texturepacker", tool).when(family == "phaser-pixi", pixi).otherwise("Atlas JSON")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,16 +24,32 @@ def composite(frames: DataFrame) -> DataFrame:
     disposal; null: transparent). With blend false, pixels of alpha 0 replace like any other."""
 
     ship_code(frames.sparkSession)
+    names = ("project_id", "width", "height", "frame_index", "left", "top", "w", "h", "rgba", "dispose", "blend", "background")
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.sort_by("frame_index").to_pylist()
-        drawn = []
-        for r in rows:
-            back = tuple(r["background"]) if r["background"] else (0, 0, 0, 0)
-            frame = Frame(r["left"], r["top"], r["w"], r["h"], 0, r["dispose"], r["blend"], back)
-            drawn.append((frame, np.frombuffer(r["rgba"], np.uint8).reshape(r["h"], r["w"], 4), None))
-        width, height = rows[0]["width"], rows[0]["height"]
-        out = [{"project_id": key[0].as_py(), "frame_index": r["frame_index"], "w": width, "h": height, "rgba": x.tobytes()} for r, x in zip(rows, compose(width, height, drawn))]
-        return pa.Table.from_pylist(out, _SCHEMA)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                yield from b.slice(k, 64).to_pylist()
 
-    return frames.groupBy("project_id").applyInArrow(run, SNAPSHOTS)
+    def drawn(project: Iterator[dict], shown: list[int]) -> Iterator[tuple[Frame, np.ndarray, None]]:
+        for r in project:
+            back = tuple(r["background"]) if r["background"] else (0, 0, 0, 0)
+            shown.append(r["frame_index"])
+            yield Frame(r["left"], r["top"], r["w"], r["h"], 0, r["dispose"], r["blend"], back), np.frombuffer(r["rgba"], np.uint8).reshape(r["h"], r["w"], 4), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for key, project in groupby(rows(batches), key=lambda r: r["project_id"]):
+            first, shown = next(project), []
+            width, height = first["width"], first["height"]
+            for canvas in compose(width, height, drawn(chain([first], project), shown)):
+                some.append({"project_id": key, "frame_index": shown[-1], "w": width, "h": height, "rgba": canvas.tobytes()})
+                size += canvas.nbytes + 100
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_pylist(some, _SCHEMA)
+                    some, size = [], 0
+        if some:
+            yield pa.RecordBatch.from_pylist(some, _SCHEMA)
+
+    # a project's frames come one after another in one task, which holds one canvas and the snapshots it has not handed on
+    return frames.select(*names).repartition("project_id").sortWithinPartitions("project_id", "frame_index").mapInArrow(run, SNAPSHOTS)

@@ -58,9 +58,17 @@ def equals_first(value: str, key: list[str], order: list[str]) -> Column:
     return F.col(value).eqNullSafe(F.first(value).over(ordered(key, order)))
 
 
+#: Layers that one document may have by its format: so many may be broadcast.
+LAYERS = 65_536
+
+
 def cells(frames: DataFrame, layers: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Every layer in every frame, of one document where on names its key."""
-    return frames.join(layers, on) if on else frames.crossJoin(F.broadcast(layers))
+    """Every layer in every frame, of documents that on names the key of; without on, of the one document that all rows are of."""
+    if on:
+        return frames.join(layers, on)
+    if layers.limit(LAYERS + 1).count() > LAYERS:
+        raise ValueError(f"a document has {LAYERS} layers at most; name the key of several documents")
+    return frames.crossJoin(F.broadcast(layers))
 
 
 def references(rows: DataFrame, targets: DataFrame, on: list[str], missing: bool) -> DataFrame:

@@ -280,13 +280,17 @@ def atlas_family_case(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", s.atlas_format(app, u % 5 == 0, u % 7 == 0, variant).alias("f")).select("event_id", "f.*")
 
 
-_RECTS = "SELECT l_orderkey, l_linenumber, l_partkey % 40 - 2 AS x, l_suppkey % 30 AS y, l_linenumber AS w, l_orderkey % 9 AS h FROM lineitem"
+_RECT = ("l_orderkey", "l_linenumber", "l_partkey % 40 - 2 AS x", "l_suppkey % 30 AS y", "l_linenumber AS w", "l_orderkey % 9 AS h")
+_RECTS = f"SELECT {', '.join(_RECT)} FROM lineitem"
+
+
+def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*_RECT)
 
 
 @query(f"SELECT l_orderkey, l_linenumber, x, y, w > 0 AND h > 0 AND x >= 0 AND y >= 0 AND x + w <= 32 AND y + h <= 24 AS inside FROM ({_RECTS})")
 def rect_containment(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    rows = spark.sql(_RECTS)
+    rows = _rects(spark, sf_dir)
     return rows.select("l_orderkey", "l_linenumber", "x", "y", validation.inside("x", "y", "w", "h", F.lit(32), F.lit(24)).alias("inside"))
 
 
@@ -294,9 +298,8 @@ def rect_containment(spark, sf_dir):
 SELECT code, count(*) AS n FROM (SELECT 'invalid_cel_x' AS code FROM c WHERE x < 0 UNION ALL SELECT 'invalid_cel_y' FROM c WHERE y < 0
   UNION ALL SELECT 'cel_out_of_bounds' FROM c WHERE x >= 0 AND x + w > 32 UNION ALL SELECT 'cel_out_of_bounds' FROM c WHERE y >= 0 AND y + h > 24) GROUP BY code""")
 def cel_bounds(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     codes = F.explode(validation.bound_codes(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(32), F.lit(24)))
-    return spark.sql(_RECTS).select(codes.alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return _rects(spark, sf_dir).select(codes.alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'Ink' ELSE s_name END AS s_name FROM supplier")
@@ -419,7 +422,9 @@ def crc32_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("value"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+v AS (SELECT doc_id, length(h) // 2 AS n, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, length(h) // 2)] AS bytes FROM b)
+SELECT doc_id, ((n + coalesce(list_sum([(n - i + 1) * bytes[i] FOR i IN range(1, n + 1)]), 0)) % 65521 * 65536 + (1 + coalesce(list_sum(bytes), 0)) % 65521)::BIGINT AS value FROM v""")
 def adler32_bytes(spark, sf_dir):
     return _on_text(spark, sf_dir, zlib.adler32, "bigint")
 
@@ -471,9 +476,10 @@ def apng_composite(spark, sf_dir):
 @query()
 def document_write(spark, sf_dir):
     """The size and checksum of the timeline document that each user's composited events make."""
-    cels = compositing.composite(_frames(spark, sf_dir).select("*", F.lit("keep").alias("dispose"), F.lit(True).alias("blend"), F.lit(None).cast("binary").alias("background")))
+    drawn = _frames(spark, sf_dir)
+    cels = compositing.composite(drawn.select("*", F.lit("keep").alias("dispose"), F.lit(True).alias("blend"), F.lit(None).cast("binary").alias("background")))
     own = ["project_id"]
-    frames = cels.select("project_id", "frame_index", (F.col("frame_index") % 500 + 1).alias("duration_ms"))
+    frames = drawn.select("project_id", "frame_index", (F.col("frame_index") % 500 + 1).alias("duration_ms"))
     projects = frames.select(*own).distinct()
     model = {
         "projects": projects.select("project_id", F.lit("events").alias("source_format"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit("rgba").alias("color_mode")),

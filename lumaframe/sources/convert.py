@@ -29,12 +29,24 @@ def selections(files: DataFrame, mode: str, key: str = "project_id") -> DataFram
     return files.groupBy(key).agg(F.count(F.lit(1)).alias("files"), F.when(~selection_ok(mode, F.col("kind")), F.lit(f"{mode} takes {takes}")).alias("error"))
 
 
+def refused(files: DataFrame, mode: str, key: str = "project_id") -> DataFrame:
+    """project_id, source_format, code, message: a row of import errors for each group of files that a mode does not take."""
+    return selections(files, mode, key).where("error is not null").select(F.col(key).alias("project_id"), F.lit(mode).alias("source_format"), F.lit("invalid-selection").alias("code"), F.col("error").alias("message"))
+
+
 def convert(files: DataFrame, mode: str, duration: int = sheets.DURATION, grid: dict | None = None) -> DataFrame:
     """reader.ROWS of files (of reader.sources) by the importer of a mode. grid: frame_width, frame_height, rows, columns, order.
 
-    Sequences are folders of PNG files, atlases pairs of .png and .json of one name; else a file is a project."""
+    Sequences are folders of PNG files, atlases pairs of .png and .json of one name; else a file is a project. Files of kinds that
+    the mode does not take are rows of errors (invalid-selection), not left out."""
     kinds = [k for group in MODES[mode] for k in group]
-    files = files.where(F.col("kind").isin(*kinds))
+    taken = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    error = {"kind": F.lit("import_errors"), "source_format": F.lit(mode), "code": F.lit("invalid-selection"), "message": F.concat(F.lit(f"{mode} takes no such file as "), "name")}
+    wrong = files.where(~taken).select(*[error.get(f.name, F.col(f.name) if f.name == "project_id" else F.lit(None)).cast(reader._spark_type(f)).alias(f.name) for f in reader._SCHEMA])
+    return _imported(files.where(taken), mode, kinds, duration, grid).unionByName(wrong)
+
+
+def _imported(files: DataFrame, mode: str, kinds: list[str], duration: int, grid: dict | None) -> DataFrame:
     if mode == "png-sequence":
         return reader.sequences(files, duration)
     if mode == "spritesheet-grid":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,7 +65,11 @@ class SpriteReader(DataSourceReader):
 
 
 class TimelineSink(DataSource):
-    """Writes rows project_id, content (of reader.export()) as files <name>.aseprite under path. A file has its name once it is whole."""
+    """Writes rows project_id, content (of reader.export()) as files <name>.aseprite under path. A file has its name once it is whole.
+
+    The name is that of the project's source without its suffix; where several rows of a write have one name, each has a digest
+    of its project_id added. A file that is there already fails the write, unless its mode is overwrite. Rows whose content is null
+    (an export error) have no file."""
 
     @classmethod
     def name(cls) -> str:
@@ -73,34 +79,47 @@ class TimelineSink(DataSource):
         return "project_id string, content binary"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return TimelineWriter(self.options)
+        return TimelineWriter(self.options, overwrite)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    files: list[tuple[str, str]]  # the file as it was written, and its project_id
 
 
 class TimelineWriter(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows: Iterator) -> Written:
         fs, base = _open(self.path)
         fs.create_dir(base, recursive=True)
         files = []
         for r in rows:
+            if r["content"] is None:
+                continue
             part = f"{base}/.{uuid.uuid4().hex}.part"
             with fs.open_output_stream(part) as out:
                 out.write(bytes(r["content"]))
-            files.append((part, f"{base}/{reader.default_name(r['project_id'])}.aseprite"))
+            files.append((part, r["project_id"]))
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, _ = _open(self.path)
-        for m in messages:
-            for part, name in m.files if m else ():
-                fs.move(part, name)
+        fs, base = _open(self.path)
+        files = [f for m in messages for f in (m.files if m else ())]
+        times = Counter(reader.default_name(p).lower() for _, p in files)
+        names = {}
+        for part, project in files:
+            name = reader.default_name(project)
+            if times[name.lower()] > 1:
+                name += "-" + hashlib.sha256(project.encode()).hexdigest()[:16]
+            names[part] = f"{base}/{name}.aseprite"
+        there = [i.path for i in fs.get_file_info(list(names.values())) if i.type != pafs.FileType.NotFound] if names else []
+        if len(set(names.values())) < len(names) or (there and not self.overwrite):
+            self.abort(messages)
+            raise FileExistsError(f"a timeline document of this name is there already: {there[0] if there else 'a project_id repeats'}")
+        for part, name in names.items():
+            fs.move(part, name)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = _open(self.path)

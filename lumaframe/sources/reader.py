@@ -6,6 +6,7 @@ whole document; the tables are filters on them. Errors are rows of their own tab
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,6 +82,13 @@ def batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(some, _SCHEMA)
 
 
+def one_by_one(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, one file's content at a time."""
+    for b in parts:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
 def sources(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """project_id (the path), name, kind, length, content of the files under path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -98,13 +106,11 @@ def decode(files: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            for b in parts:
-                for r in b.to_pylist():
-                    yield from import_rows(r["project_id"], r["kind"] or "unknown", lambda r=r: _import(r))
+            for r in one_by_one(parts):
+                yield from import_rows(r["project_id"], r["kind"] or "unknown", lambda r=r: _import(r))
 
         yield from batches(rows())
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     return files.select("project_id", "kind", "large", "content").mapInArrow(run, ROWS)
 
 
@@ -116,13 +122,19 @@ def _import(row: dict) -> Document:
     return IMPORTERS[row["kind"]](row["content"])
 
 
+def natural(name: str) -> tuple[list[tuple[int, str]], str]:
+    """A sort key of names: runs of digits by value, before other text."""
+    return [(int(x) if x.isdecimal() else -1, x) for x in re.split(r"([0-9]+)", name)], name
+
+
 def sequences(files: DataFrame, duration: int = sheets.DURATION) -> DataFrame:
-    """ROWS of image sequences: the PNG files of a folder, in the order of their names, are the frames of a project."""
+    """ROWS of image sequences: the PNG files of a folder are the frames of a project, in the order of their names, where runs of
+    digits go by their value: f2 before f10."""
     ship_code(files.sparkSession)
     files = files.where("kind = 'png'").withColumn("folder", F.regexp_replace("project_id", "/[^/]*$", ""))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        images = table.sort_by("name").column("content").to_pylist()
+        images = [x for _, x in sorted(zip(table.column("name").to_pylist(), table.column("content").to_pylist()), key=lambda x: natural(x[0]))]
         rows = import_rows(key[0].as_py(), "png-sequence", lambda: sheets.png_sequence([png.image(x, "invalid-png") for x in images], duration))
         return pa.Table.from_pylist(list(rows), _SCHEMA)
 
@@ -130,18 +142,21 @@ def sequences(files: DataFrame, duration: int = sheets.DURATION) -> DataFrame:
 
 
 def atlases(files: DataFrame, default_duration: int = sheets.DURATION) -> DataFrame:
-    """ROWS of atlases: a .json file and the .png file of the same name beside it."""
+    """ROWS of atlases: a .json file and the .png file of the same name beside it. Several of either (of one name but for the case of
+    its suffix) are an error, not a choice."""
     ship_code(files.sparkSession)
     stem = F.regexp_replace("project_id", r"\.[^./]*$", "")
-    both = files.where("kind in ('json', 'png')").groupBy(stem.alias("project_id")).agg(F.max(F.when(F.col("kind") == "json", F.col("content"))).alias("json"), F.max(F.when(F.col("kind") == "png", F.col("content"))).alias("png"))
+    both = files.where("kind in ('json', 'png')").groupBy(stem.alias("project_id")).agg(F.max(F.when(F.col("kind") == "json", F.col("content"))).alias("json"), F.max(F.when(F.col("kind") == "png", F.col("content"))).alias("png"), F.count(F.lit(1)).alias("n"))
 
     def build(row: dict) -> Document:
         if row["png"] is None:
             raise SourceError("invalid-png", "the sheet is missing")
+        if row["n"] > 2:
+            raise SourceError("invalid-selection", "there are several sheets or tables of this name")
         return _json(lambda text: sheets.atlas_sheet(png.image(row["png"], "invalid-png"), text, default_duration))(row["json"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(x for b in parts for r in b.to_pylist() for x in import_rows(r["project_id"], "atlas", lambda r=r: build(r)))
+        yield from batches(x for r in one_by_one(parts) for x in import_rows(r["project_id"], "atlas", lambda r=r: build(r)))
 
     return both.where("json is not null").mapInArrow(run, ROWS)
 
@@ -154,7 +169,7 @@ def grids(files: DataFrame, frame_width: int, frame_height: int, rows: int, colu
         def build(data: bytes) -> Document:
             return sheets.grid_sheet(png.image(data, "invalid-png"), frame_width, frame_height, rows, columns, order, duration)
 
-        yield from batches(x for b in parts for r in b.to_pylist() for x in import_rows(r["project_id"], "grid", lambda r=r: build(r["content"])))
+        yield from batches(x for r in one_by_one(parts) for x in import_rows(r["project_id"], "grid", lambda r=r: build(r["content"])))
 
     return files.where("kind = 'png'").select("project_id", "content").mapInArrow(run, ROWS)
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from lumaframe.plans import catalogue
+from lumaframe.plans import catalogue, source_queries
 
 
 @pytest.fixture(scope="module")
@@ -69,5 +69,6 @@ def test_table_values(spark, tmp_path):
 
 
 def test_entry_point():
+    assert source_queries.gif_files.__name__ in catalogue.QUERIES
     names = entry.queries()
     assert set(catalogue.QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
