@@ -25,9 +25,9 @@ RADIUS, SHINGLE = 4, 4
 #: drop_similar(): words of a shingle, least Jaccard similarity, radius of candidates. Of pairs at the least similarity all but a
 #: hundredth differ in no more bits.
 SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 16
-#: Values of a sketch, one a bin of hashes; how far its estimate may lie under the least similarity, three standard errors; tiles
-#: aimed at; candidates of two tiles that are sorted together.
-SKETCH, SLACK, SKETCH_TILES, SORTED = 128, 0.1, 24, 1 << 20
+#: Values of a sketch, one a bin of hashes, and how many values there are but for 0; how far its estimate may lie under the least
+#: similarity, nearly three standard errors; tiles aimed at, and population counts of a tile; candidates that are sorted together.
+SKETCH, VALUES, SLACK, SKETCH_TILES, SKETCH_BAND, SORTED = 128, 15, 0.1, 12, 8, 1 << 20
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
 TILE_LEAST, TILE_MOST, TILES = 2048, 262_144, 48
 #: Comparisons made at once in numpy, and shingles whose bits are counted at once.
@@ -63,7 +63,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def profile(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[int, bytes]:
-    """A text's fingerprint, and its sketch: of the hashes in each bin (by their leading bits) a byte of the least, 0 for an empty bin."""
+    """A text's fingerprint, and its sketch: of the hashes in each bin (by their leading bits) four bits of the least, 0 for an empty
+    bin, two bins a byte."""
     least, shift = np.full(SKETCH, np.iinfo(np.uint64).max), np.uint64(64 - (SKETCH - 1).bit_length())
     chunks = list(shingle_hashes(text, shingle))
     for hashes in chunks:
@@ -71,8 +72,14 @@ def profile(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[int, byte
         bins, first = np.unique(sort >> shift, return_index=True)
         at = bins.astype(np.int64)
         least[at] = np.minimum(least[at], sort[first])
-    values = np.where(least == np.iinfo(np.uint64).max, 0, least % np.uint64(255) + np.uint64(1))
-    return _majority(chunks), values.astype(np.uint8).tobytes()
+    values = np.where(least == np.iinfo(np.uint64).max, 0, least % np.uint64(VALUES) + np.uint64(1)).astype(np.uint8)
+    return _majority(chunks), (values[::2] | values[1::2] << 4).tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """A row of values for each sketch."""
+    both = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH // 2, 1)
+    return np.concatenate((both & 15, both >> 4), axis=2).reshape(-1, SKETCH)
 
 
 def jaccard(a: str | None, b: str | None, shingle: int = SIMILAR_SHINGLE) -> float:
@@ -147,23 +154,26 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tu
     return nodes[inner].view(np.int64), nodes[forest.label[inner]].view(np.int64)
 
 
-def tile_pairs(distinct: DataFrame, radius: int, aimed: int, columns: list[str]) -> DataFrame:
-    """a, b, and a list of each column: the tiles of rows (column fp among them) that must meet, dealt to tasks by (a, b).
+def tile_pairs(distinct: DataFrame, radius: int, aimed: int, columns: list[str], band: int = 1) -> DataFrame:
+    """a, b, and a list of each column: the tiles of rows (column fp among them) that must meet, dealt to tasks by (a, b). A tile
+    has rows of so many neighbouring population counts as a band is wide.
 
     A tile that meets another comes as a row from each side, one that meets itself as one row."""
     spark = distinct.sparkSession
-    counts = dict(distinct.groupBy(F.bit_count("fp").alias("bits")).count().collect())  # 65 rows at most
+    bits, bands = F.floor(F.bit_count("fp") / band).cast("int").alias("bits"), 64 // band + 1
+    counts = dict(distinct.groupBy(bits).count().collect())  # 65 rows at most
     total = sum(counts.values())
     tile = min(TILE_MOST, max(TILE_LEAST, -(-total // aimed)))
-    chunks = [-(-counts.get(c, 0) // tile) for c in range(65)]
-    first = np.concatenate(([0], np.cumsum(chunks))).tolist()  # the tiles of count c are first[c] to first[c + 1] - 1
+    chunks = [-(-counts.get(c, 0) // tile) for c in range(bands)]
+    first = np.concatenate(([0], np.cumsum(chunks))).tolist()  # the tiles of band c are first[c] to first[c + 1] - 1
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bits") + 1)
-    tiles = distinct.select(*columns, F.bit_count("fp").alias("bits")).withColumn("tile", at(first[:65]) + F.pmod(F.xxhash64(*columns), at([max(1, n) for n in chunks])))
+    tiles = distinct.select(*columns, bits).withColumn("tile", at(first[:bands]) + F.pmod(F.xxhash64(*columns), at([max(1, n) for n in chunks])))
     tiles = tiles.groupBy("tile", "bits").agg(*[F.collect_list(c).alias(c) for c in columns])
-    low, high = ([first[max(0, c - radius)] for c in range(65)], [first[min(65, c + radius + 1)] - 1 for c in range(65)])
+    low = [first[max(0, (c * band - radius) // band)] for c in range(bands)]
+    high = [first[min(bands, (c * band + band - 1 + radius) // band + 1)] - 1 for c in range(bands)]
     pairs = tiles.select("tile", *columns, F.explode(F.sequence(at(low), at(high))).alias("other"))
     pairs = pairs.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), *columns)
-    return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, first[65])), "a", "b")
+    return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, first[bands])), "a", "b")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -209,9 +219,11 @@ class Spanning:
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The estimate that pairs of sketches (rows of bytes) give of their texts' Jaccard similarity."""
+    """The estimate that pairs of sketches (rows of values) give of their texts' Jaccard similarity; one in VALUES of the least
+    hashes that differ agree by chance."""
     some = ((a | b) > 0).sum(1)
-    return np.where(some > 0, ((a == b) & (a > 0)).sum(1) / np.maximum(1, some), 1.0)
+    agree = ((a == b) & (a > 0)).sum(1) / np.maximum(1, some)
+    return np.where(some > 0, (agree * VALUES - 1) / (VALUES - 1), 1.0)
 
 
 def similar_edges(fps: np.ndarray, sketches: np.ndarray, split: int, radius: int = WIDE, least: float = SIMILARITY - SLACK) -> list[tuple[int, int]]:
@@ -241,11 +253,11 @@ def similar_links(nodes: DataFrame, radius: int = WIDE, least: float = SIMILARIT
     def run(table: pa.Table) -> pa.Table:
         sides = [[table.column(c)[k].values for c in ("node", "fp", "sketch")] for k in range(table.num_rows)]
         ids, fps = (np.concatenate([x[c].to_numpy() for x in sides]) for c in (0, 1))
-        sketches = np.frombuffer(b"".join(v for x in sides for v in x[2].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        sketches = unpacked([v for x in sides for v in x[2].to_pylist()])
         edges = similar_edges(fps.view(np.uint64), sketches, len(sides[0][0]) if len(sides) > 1 else 0, radius, least)
         return pa.table({"u": pa.array([int(ids[a]) for a, _ in edges], pa.int64()), "v": pa.array([int(ids[b]) for _, b in edges], pa.int64())})
 
-    return tile_pairs(nodes, radius, SKETCH_TILES, ["node", "fp", "sketch"]).groupBy("a", "b").applyInArrow(run, "u long, v long")
+    return tile_pairs(nodes, radius, SKETCH_TILES, ["node", "fp", "sketch"], SKETCH_BAND).groupBy("a", "b").applyInArrow(run, "u long, v long")
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
