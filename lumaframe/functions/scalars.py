@@ -88,6 +88,13 @@ def format_bytes(size: Column) -> Column:
     return F.when(mib >= 1, F.concat(text, F.lit(" MiB"))).otherwise(F.concat(F.ceil(size / 1024.0).cast("string"), F.lit(" KiB")))
 
 
+def decoded_estimate(width: Column, height: Column, frames: Column, layers: Column) -> Column:
+    """The decoded size and the factors that give it, frames and layers only where there are several; null as decoded_bytes()."""
+    several = lambda n, noun: F.when(n > 1, F.concat(F.lit(" x "), n.cast("string"), F.lit(f" {noun}"))).otherwise("")
+    factors = F.concat(width.cast("string"), F.lit(" x "), height.cast("string"), F.lit(" x 4 bytes"), several(frames, "frames"), several(layers, "layers"))
+    return F.concat(F.lit("about "), format_bytes(decoded_bytes(width, height, frames, layers)), F.lit(" ("), factors, F.lit(")"))
+
+
 def is_large(total: Column, files: Column, sequence: Column, decoded: Column) -> Column:
     """Whether a selection deserves a warning: long sequences, large sources or large decoded pixels."""
     return (sequence & (files >= LONG_SEQUENCE)) | (total >= LARGE_BYTES) | F.coalesce(decoded >= LARGE_BYTES, F.lit(False))

@@ -417,7 +417,11 @@ def _on_text(spark: SparkSession, sf_dir: str, f, kind: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", run("text").alias("value"))
 
 
-@query()
+@query("""WITH RECURSIVE t(b, k, c) AS (SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS l FROM t WHERE k = 8), v AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, length(h) // 2)] AS bytes FROM v)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, l[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS value FROM b, crc""")
 def crc32_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("value"))
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import scalars as s
-from ..operators import geometry, updates, validation
+from ..functions import scalars as s, status
+from ..operators import geometry, structure, updates, validation
 from ..shipping import ship_code
 from ..sources import convert, reader
 from . import specimens
@@ -278,3 +278,79 @@ def refused_selections(spark, sf_dir):
     i = F.col("event_id")
     files = table(spark, sf_dir, "events").select(F.floor(i / 2).cast("string").alias("project_id"), F.when(i % 3 == 0, "gif").otherwise("txt").alias("kind"))
     return convert.refused(files, "gif").select(F.col("project_id").cast("long").alias("user_id"), "code")
+
+
+#: JSON of the lists of a project, sound and not, chosen by a document's id: frames, frame tags (a field), layers.
+_FRAMES = ("[{}]", "[]", "3", "[{}, 1, null, [0]]", "null", "{}")
+_TAGS = ("", '"frameTags": [], ', '"frameTags": null, ', '"frameTags": [{}, "t"], ', '"frameTags": 1, ')
+_LAYERS = ('[{"cels": []}]', "[]", "null", '[{"cels": [{}, 2]}, 7, {"cels": {}}, {}, []]', '[null, {"cels": [null, [1], "c"]}]', '{"cels": 1}', '["{}"]')
+
+
+def _one_of(values: tuple[str, ...]) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][doc_id % {len(values)} + 1]"
+
+
+@query(f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text ELSE '{{"name": ' || to_json([text])::VARCHAR || ', "frames": ' || {_one_of(_FRAMES)} || ', ' || {_one_of(_TAGS)} || '"layers": ' || {_one_of(_LAYERS)} || '}}' END AS j FROM documents),
+v AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j::JSON END AS v FROM p), r AS (SELECT doc_id, v, coalesce(json_type(v) IN ('OBJECT', 'ARRAY'), false) AS ok FROM v),
+l AS (SELECT doc_id, v, json_type(v, '$.frames') AS f, json_type(v, '$.frameTags') AS t, json_type(v, '$.layers') AS y FROM r WHERE ok),
+lists AS (SELECT doc_id, 1 AS s, 'invalid_frame' AS code, 'frames' AS name, v->'$.frames[*]' AS x FROM l WHERE f = 'ARRAY' UNION ALL SELECT doc_id, 3, 'invalid_frame_tag', 'frameTags', v->'$.frameTags[*]' FROM l WHERE t = 'ARRAY'
+  UNION ALL SELECT doc_id, 5, 'invalid_layer', 'layers', v->'$.layers[*]' FROM l WHERE y = 'ARRAY'),
+items AS (SELECT doc_id, s, code, name, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS i FROM lists),
+layers AS (SELECT doc_id, x, i FROM items WHERE s = 5 AND json_type(x) IN ('OBJECT', 'ARRAY')),
+cels AS (SELECT doc_id, i, unnest(x->'$.cels[*]') AS c, generate_subscripts(x->'$.cels[*]', 1) - 1 AS j FROM layers WHERE json_type(x, '$.cels') = 'ARRAY'),
+found AS (SELECT doc_id, 0 AS s, 0 AS i, 0 AS j, 'invalid_project' AS code, 'project' AS path FROM r WHERE NOT ok
+  UNION ALL SELECT doc_id, 0, 0, 0, 'invalid_frames', 'frames' FROM l WHERE coalesce(f <> 'ARRAY', true) OR json_array_length(v, '$.frames') = 0
+  UNION ALL SELECT doc_id, 2, 0, 0, 'invalid_frame_tags', 'frameTags' FROM l WHERE t <> 'ARRAY'
+  UNION ALL SELECT doc_id, 4, 0, 0, 'invalid_layers', 'layers' FROM l WHERE coalesce(y <> 'ARRAY', true) OR json_array_length(v, '$.layers') = 0
+  UNION ALL SELECT doc_id, s, i, -1, code, name || '[' || i || ']' FROM items WHERE json_type(x) NOT IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT doc_id, 5, i, -1, 'invalid_cels', 'layers[' || i || '].cels' FROM layers WHERE coalesce(json_type(x, '$.cels') <> 'ARRAY', true)
+  UNION ALL SELECT doc_id, 5, i, j, 'invalid_cel', 'layers[' || i || '].cels[' || j || ']' FROM cels WHERE json_type(c) NOT IN ('OBJECT', 'ARRAY'))
+SELECT doc_id, code, path, row_number() OVER (PARTITION BY doc_id ORDER BY s, i, j)::INT AS ordinal FROM found""")
+def structure_faults(spark, sf_dir):
+    """Codes of structure.structure_violations() on JSON that names a document's text, with lists sound and not; some texts stand for JSON themselves."""
+    one = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    name = F.to_json(F.array("text"))
+    made = F.concat(F.lit('{"name": '), name, F.lit(', "frames": '), one(_FRAMES), F.lit(", "), one(_TAGS), F.lit('"layers": '), one(_LAYERS), F.lit("}"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.col("text")).otherwise(made).alias("json"))
+    return structure.structure_violations(rows, "doc_id").select(F.col("project_id").alias("doc_id"), "code", "path", "ordinal")
+
+
+def _of_mode(field: int, absent: str) -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    return "CASE mode " + " ".join(f"WHEN '{m}' THEN {quoted(v[field])}" for m, v in status.MODES.items()) + f" ELSE '{absent}' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, [{', '.join(f"'{m}'" for m in status.MODES)}, 'none'][event_id % {len(status.MODES) + 1} + 1] AS mode, user_id % 4 AS n, event_id % 3 AS m,
+  CASE WHEN event_type <> 'click' THEN event_type END AS code, CASE WHEN event_id % 5 = 0 THEN '  ' ELSE props || chr(10) || ' ' || event_type END AS message FROM events)
+SELECT event_id, CASE WHEN mode IN ('png-sequence', 'spritesheet-grid', 'spritesheet-json', 'none') THEN 'Selected ' || n || CASE n WHEN 1 THEN ' file.' ELSE ' files.' END ELSE 'Selected 1 ' || {_of_mode(0, 'PNG image')} || '.' END AS selected,
+  'Converted a ' || {_of_mode(0, 'PNG image')} || ' of ' || n || CASE n WHEN 1 THEN ' frame' ELSE ' frames' END ||
+  CASE WHEN mode IN ('piskel', 'pixil', 'openraster', 'pixelorama', 'krita', 'psd') THEN ' and ' || m || CASE m WHEN 1 THEN ' layer' ELSE ' layers' END ELSE '' END || '.' AS converted,
+  'Could not convert the ' || {_of_mode(0, 'PNG image')} || ': ' || CASE WHEN code IS NOT NULL AND event_id % 5 <> 0 THEN trim(regexp_replace(message, '\\s+', ' ', 'g')) ELSE 'check that ' || {_of_mode(1, 'it is a PNG image')} || '.' END AS failed FROM e""")
+def status_messages(spark, sf_dir):
+    """N29 and N30: texts about selections, conversions and failures, which show only what an importer wrote."""
+    i = F.col("event_id")
+    mode = F.element_at(F.array(*map(F.lit, [*status.MODES, "none"])), (i % (len(status.MODES) + 1) + 1).cast("int"))
+    frames, layers, code = F.col("user_id") % 4, i % 3, F.when(F.col("event_type") != "click", F.col("event_type"))
+    message = F.when(i % 5 == 0, "  ").otherwise(F.concat("props", F.lit("\n "), "event_type"))
+    out = {"selected": status.selection_status(mode, frames), "converted": status.success_status(mode, frames, layers), "failed": status.failure_status(mode, code, message)}
+    return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in out.items()])
+
+
+@query("""SELECT user_id, CASE WHEN list_contains(k, 'piskel') THEN 'piskel' WHEN list_contains(k, 'gif') THEN 'gif' WHEN list_contains(k, 'kra') THEN 'krita' WHEN list_contains(k, 'json') THEN 'spritesheet-json'
+  WHEN len(k) > 1 THEN 'png-sequence' END AS mode FROM (SELECT event_id // 2 AS user_id, list(DISTINCT CASE event_id % 17 WHEN 0 THEN 'piskel' WHEN 3 THEN 'gif' WHEN 5 THEN 'kra' WHEN 8 THEN 'json' ELSE 'png' || event_id END) AS k
+FROM events GROUP BY 1)""")
+def mode_of_files(spark, sf_dir):
+    """N30: the mode that the kinds of a group of files call for where none was chosen."""
+    i = F.col("event_id")
+    kind = F.when(i % 17 == 0, "piskel").when(i % 17 == 3, "gif").when(i % 17 == 5, "kra").when(i % 17 == 8, "json").otherwise(F.concat(F.lit("png"), i.cast("string")))
+    groups = table(spark, sf_dir, "events").groupBy(F.floor(i / 2).alias("user_id")).agg(F.collect_set(kind).alias("kinds"))
+    return groups.select("user_id", status.mode_of(F.col("kinds")).alias("mode"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_partkey % 4097)::BIGINT AS w, (p_size * 41)::BIGINT AS h, (p_partkey % 5)::BIGINT AS f, (p_partkey % 3)::BIGINT AS l FROM part), b AS (SELECT *, 4 * w * h * f * l AS n FROM p)
+SELECT p_partkey, CASE WHEN w > 0 AND h > 0 AND f > 0 AND l > 0 THEN 'about ' || CASE WHEN n < 1048576 THEN ceil(n / 1024.0)::BIGINT || ' KiB' WHEN n % 1048576 = 0 THEN n // 1048576 || ' MiB' ELSE printf('%.1f', floor(n / 1048576.0 * 10 + 0.5) / 10) || ' MiB' END ||
+  ' (' || w || ' x ' || h || ' x 4 bytes' || CASE WHEN f > 1 THEN ' x ' || f || ' frames' ELSE '' END || CASE WHEN l > 1 THEN ' x ' || l || ' layers' ELSE '' END || ')' END AS estimate FROM b""")
+def decoded_estimates(spark, sf_dir):
+    """N13: the decoded size of a document, and the factors that give it."""
+    p = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", s.decoded_estimate((p % 4097).cast("long"), (F.col("p_size") * 41).cast("long"), (p % 5).cast("long"), (p % 3).cast("long")).alias("estimate"))

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumaframe.functions import scalars as s, schemas
-from lumaframe.operators import compositing, geometry, relational as r, updates, validation
+from lumaframe.functions import scalars as s, schemas, status
+from lumaframe.operators import compositing, geometry, relational as r, structure, updates, validation
 from lumaframe.sources import convert, datasource, png, reader, timeline_file
 from lumaframe.sources.document import Cel, Document, Layer, Tag
 from lumaframe.streaming import ingest
@@ -291,3 +291,34 @@ def test_modes(spark, folder):
 def test_summary(model):
     got = {name(x.project_id): tuple(x[1:]) for x in convert.summary(model).collect()}
     assert got["d.pxo"] == (2, 2, 4, 350) and got["c.ora"] == (1, 1, 1, 100)
+
+
+def test_structure_of_json(spark):
+    """Null, empty, broken and repeated texts, other columns, and order within a document."""
+    texts = [
+        None, "", "no", "7", "null", "[]", '{"frames": [{}], "layers": [{"cels": []}]}', '{"frames": [{}], "layers": [{"cels": []}]}', '{"frames": [1, {}, null], "frameTags": null, "layers": ["x", {"cels": [3, {}, null]}, {}, []]}',
+        '{"frames": {}, "frameTags": ["t", {}], "layers": []}', '{"a": 1, "a": 2}',
+    ]
+    rows = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "id int, json string, code string")
+    out = structure.structure_violations(rows, "id").orderBy("project_id", "ordinal").collect()
+    found = {k: [(r.code, r.path) for r in out if r.project_id == k] for k in range(len(texts))}
+    none = [("invalid_project", "project")]
+    assert all(found[k] == none for k in (0, 1, 2, 3, 4, 10)) and found[6] == found[7] == []
+    assert found[5] == [("invalid_frames", "frames"), ("invalid_layers", "layers")]
+    assert found[8] == [
+        ("invalid_frame", "frames[0]"), ("invalid_frame", "frames[2]"), ("invalid_frame_tags", "frameTags"), ("invalid_layer", "layers[0]"), ("invalid_cel", "layers[1].cels[0]"),
+        ("invalid_cel", "layers[1].cels[2]"), ("invalid_cels", "layers[2].cels"), ("invalid_cels", "layers[3].cels"),
+    ]
+    assert found[9] == [("invalid_frames", "frames"), ("invalid_frame_tag", "frameTags[0]"), ("invalid_layers", "layers")]
+    assert all(r.message == structure.MESSAGES[r.code] for r in out)
+    assert structure.structure_violations(rows.limit(0), "id").count() == 0
+
+
+def test_status_texts(spark):
+    rows = spark.createDataFrame([("krita", 1, 2, "bad-tile", " a\n tile ", ["json", "kra"]), ("png-sequence", 3, 0, None, "trace", ["png", "png2"]), ("spritesheet-grid", 1, 1, "c", " ", ["png"]), (None, 0, 0, "c", None, [])], "m string, f int, l int, c string, t string, k array<string>")
+    m, f, n = F.col("m"), F.col("f"), F.col("l")
+    got = rows.select(status.selection_status(m, f), status.success_status(m, f, n), status.failure_status(m, F.col("c"), F.col("t")), status.mode_of(F.col("k"))).collect()
+    assert tuple(got[0]) == ("Selected 1 Krita project.", "Converted a Krita project of 1 frame and 2 layers.", "Could not convert the Krita project: a tile", "krita")
+    assert tuple(got[1])[:2] == ("Selected 3 files.", "Converted a PNG sequence of 3 frames.") and "trace" not in got[1][2] and got[1][3] == "png-sequence"
+    assert got[2][0] == "Selected 1 file." and got[2][2].endswith("check that the frames of the grid lie within the image.") and got[2][3] is None
+    assert tuple(got[3]) == ("Selected 0 files.", "Converted a PNG image of 0 frames.", "Could not convert the PNG image: check that it is a PNG image.", None)
