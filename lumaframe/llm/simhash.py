@@ -5,8 +5,8 @@ counts that differ by the radius at most, so only tiles of such counts meet; ins
 counts of the four 16-bit quarters, skips sub-tiles. What is left is compared by exclusive-or and bit counts in numpy.
 A pair of tiles gives a spanning forest of its links, not the links: the classes are the same.
 
-drop_similar() takes fingerprints as candidates only: pairs within a wide radius whose MinHash sketches agree are confirmed by the
-Jaccard similarity of their shingles."""
+drop_similar() finds every pair of texts with a Jaccard similarity: two such sets of shingles, put in one order, share one of their
+first few. Fingerprints choose which of these candidates is compared first; all that could still join two classes are compared."""
 
 from __future__ import annotations
 
@@ -22,12 +22,16 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from .common import BROADCAST_ROWS, cut, fresh, join_classes, one_row, ship_code, sliced, without
 
 RADIUS, SHINGLE = 4, 4
-#: drop_similar(): words of a shingle, least Jaccard similarity, radius of candidates. Of pairs at the least similarity all but a
-#: hundredth differ in no more bits.
-SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 16
-#: Values of a sketch, one a bin of hashes, and how many values there are but for 0; how far its estimate may lie under the least
-#: similarity, nearly three standard errors; tiles aimed at, and population counts of a tile; candidates that are sorted together.
-SKETCH, VALUES, SLACK, SKETCH_TILES, SKETCH_BAND, SORTED = 128, 15, 0.1, 12, 8, 1 << 20
+#: drop_similar(): words of a shingle, and least Jaccard similarity.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Values of a sketch, one a bin of hashes, and how many values there are but for 0.
+SKETCH, VALUES = 128, 15
+#: A key orders shingles: how often the sample has it (at most 255; 0 for once) above KEY_BITS bits of the hash. The order decides
+#: how many candidates there are, not what is found. Least and most texts sampled for it, and shingles it ranks at most.
+KEY_BITS, SAMPLE_LEAST, SAMPLE_MOST, COMMON = 56, 10_000, 40_000, 1_000_000
+#: Shingles that a task deals out at once, and about as many that meet in a part; texts that share a key before they count as dense,
+#: and how many before it a text of those is compared with by fingerprint.
+DEALT, DENSE, WINDOW = 1 << 20, 32, 4096
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
 TILE_LEAST, TILE_MOST, TILES = 2048, 262_144, 48
 #: Comparisons made at once in numpy, and shingles whose bits are counted at once.
@@ -187,37 +191,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return tile_pairs(distinct, radius, TILES, ["fp"]).groupBy("a", "b").applyInPandas(run, "u long, v long")
 
 
-class Spanning:
-    """The edges that link nodes, the most similar first, as far as they are offered together: a spanning forest."""
-
-    def __init__(self, n: int):
-        self.parent, self.label, self.edges = list(range(n)), np.arange(n), []
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def _root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def offer(self, i: np.ndarray, j: np.ndarray, similar: np.ndarray) -> None:
-        self.held.append((i, j, similar))
-        if sum(len(x) for x, _, _ in self.held) > SORTED:
-            self.settle()
-
-    def settle(self) -> list[tuple[int, int]]:
-        if self.held:
-            i, j, similar = (np.concatenate(x) for x in zip(*self.held))
-            self.held = []
-            order = np.argsort(-similar, kind="stable")
-            for a, b in zip(i[order].tolist(), j[order].tolist()):
-                x, y = self._root(a), self._root(b)
-                if x != y:
-                    self.parent[max(x, y)] = min(x, y)
-                    self.edges.append((a, b))
-            self.label = np.array([self._root(k) for k in range(len(self.parent))])
-        return self.edges
-
-
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The estimate that pairs of sketches (rows of values) give of their texts' Jaccard similarity; one in VALUES of the least
     hashes that differ agree by chance."""
@@ -226,38 +199,212 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some > 0, (agree * VALUES - 1) / (VALUES - 1), 1.0)
 
 
-def similar_edges(fps: np.ndarray, sketches: np.ndarray, split: int, radius: int = WIDE, least: float = SIMILARITY - SLACK) -> list[tuple[int, int]]:
-    """Positions of pairs, one before `split` and one after it (any two if that is 0), within the radius, whose sketches agree
-    to `least`: those that span the classes of all such pairs."""
-    out = Spanning(len(fps))
-    rows, columns = (fps[:split], fps[split:]) if split else (fps, fps)
-    step = max(1, BLOCK // max(1, len(columns)))
-    for k in range(0, len(rows), step):
-        past = 0 if split else k
-        x, y = np.nonzero(np.bitwise_count(rows[k : k + step, None] ^ columns[None, past:]) <= radius)
-        i, j = x + k, y + (split or past)
-        for part in range(0, len(i), CHUNK):
-            u, v = i[part : part + CHUNK], j[part : part + CHUNK]
-            open_ = (out.label[u] != out.label[v]) & (u < v)
-            u, v = u[open_], v[open_]
-            if len(u):
-                similar = sketch_similarity(sketches[u], sketches[v])
-                near = similar >= least
-                out.offer(u[near], v[near], similar[near])
-    return out.settle()
-
-
-def similar_links(nodes: DataFrame, radius: int = WIDE, least: float = SIMILARITY - SLACK) -> DataFrame:
-    """u, v: pairs of nodes (columns node, fp, sketch) that span the classes of similar ones, pair of tiles by pair of tiles."""
-
-    def run(table: pa.Table) -> pa.Table:
-        sides = [[table.column(c)[k].values for c in ("node", "fp", "sketch")] for k in range(table.num_rows)]
-        ids, fps = (np.concatenate([x[c].to_numpy() for x in sides]) for c in (0, 1))
-        sketches = unpacked([v for x in sides for v in x[2].to_pylist()])
-        edges = similar_edges(fps.view(np.uint64), sketches, len(sides[0][0]) if len(sides) > 1 else 0, radius, least)
-        return pa.table({"u": pa.array([int(ids[a]) for a, _ in edges], pa.int64()), "v": pa.array([int(ids[b]) for _, b in edges], pa.int64())})
-
-    return tile_pairs(nodes, radius, SKETCH_TILES, ["node", "fp", "sketch"], SKETCH_BAND).groupBy("a", "b").applyInArrow(run, "u long, v long")
+def least_common(x, y, similarity: float):
+    """How many shingles two sets of these sizes share at least if they have that Jaccard similarity."""
+    return np.ceil((np.asarray(x, np.float64) + y) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def may_meet(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of rows i and j can be similar if the key that they share is the first: it and what follows must suffice.
+    Similar sets pass at the first key that they share."""
+    rest = np.minimum(size[i] - pos[i], size[j] - pos[j])
+    return (rest >= least_common(size[i], size[j], similarity)) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
+
+
+def low_bits(keys: np.ndarray) -> np.ndarray:
+    return keys & np.uint64((1 << KEY_BITS) - 1)
+
+
+def ordered(hashes: np.ndarray, common: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """The sorted keys of distinct hashes. common: keys of what the sample has repeatedly, sorted by lows, their hashes' bits."""
+    low = low_bits(hashes)
+    if not len(common):
+        return np.sort(low)
+    at = np.minimum(np.searchsorted(lows, low), len(common) - 1)
+    return np.sort(np.where(lows[at] == low, common[at], low))
+
+
+def first_keys(text: str | None, common: np.ndarray, lows: np.ndarray, similarity: float, shingle: int) -> tuple[int, int, bytes, bytes]:
+    """Of a whole text: fingerprint, number of distinct shingles, a digest of their set, and the least keys: so many that any
+    similar set has one of them among its own."""
+    chunks = list(shingle_hashes(text, shingle))
+    hashes = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
+    n = len(hashes)
+    keys = ordered(hashes, common, lows)[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+    return _majority(chunks), n, xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()), keys.astype("<u8").tobytes()
+
+
+def by_part(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a key (the first column) and more, as bytes of each column, one record a part."""
+    part = (low_bits(columns[0]) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    found, at = np.unique(part[order], return_index=True)
+    spans = list(zip(at.tolist(), [*at[1:].tolist(), len(part)]))
+    sides = [c[order] for c in columns]
+    for k in range(0, len(spans), 1024):
+        cells = [pa.array([c[a:b].tobytes() for a, b in spans[k : k + 1024]], pa.binary()) for c in sides]
+        yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 1024], pa.int32()), *cells], ["part", *[f"c{i}" for i in range(len(sides))]])
+
+
+def common_keys(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """Keys of the shingles that a sample of the texts has more than once, sorted by hash; the most frequent if they are too many."""
+    total = docs.count()
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    most = max(SAMPLE_LEAST, min(SAMPLE_MOST, total // 8))
+    texts = texts.sample(most / total, seed=9) if total > most else texts
+    parts = max(1, min(total, most) // 1000)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in sliced(batches):
+            for t in b.column(0):
+                chunks = list(shingle_hashes(t.as_py(), shingle))
+                held += [np.unique(np.concatenate(chunks))] if chunks else []
+                n += len(held[-1]) if chunks else 0
+            if n > DEALT:
+                yield from by_part([np.concatenate(held)], parts)
+                held, n = [], 0
+        if n:
+            yield from by_part([np.concatenate(held)], parts)
+
+    def repeated(table: pa.Table) -> pa.Table:
+        low = low_bits(np.frombuffer(b"".join(table.column("c0").to_pylist()), "<u8"))
+        keys, n = np.unique(low, return_counts=True)
+        keys = keys[n > 1] | np.minimum(n[n > 1], 255).astype(np.uint64) << np.uint64(KEY_BITS)
+        keys = np.sort(keys)[::-1][:COMMON]
+        return pa.table({"keys": pa.array([keys.astype("<u8").tobytes()], pa.binary())})
+
+    found = texts.mapInArrow(shingles, "part int, c0 binary").groupBy("part").applyInArrow(repeated, "keys binary").collect()
+    keys = np.sort(np.frombuffer(b"".join(bytes(r["keys"]) for r in found), "<u8"))[::-1][:COMMON]
+    return keys[np.argsort(low_bits(keys))]
+
+
+def nearest_before(fp: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that share a key: each with the row before it, WINDOW away at most, that may meet it, is of another class and has the
+    nearest fingerprint."""
+    out, step = [], max(1, (BLOCK << 4) // min(len(fp), WINDOW))
+    for k in range(0, len(fp), step):
+        j, i = np.arange(k, min(len(fp), k + step)), np.arange(max(0, k - WINDOW), min(len(fp), k + step))
+        apart = np.bitwise_count(fp[j, None] ^ fp[None, i])
+        apart[(i[None, :] >= j[:, None]) | (root[j, None] == root[None, i]) | ~may_meet(size, pos, i[None, :], j[:, None], similarity)] = 255
+        best = apart.argmin(1)
+        some = apart[np.arange(len(j)), best] < 255
+        out.append((i[best[some]], j[some]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def run_pairs(el: np.ndarray, fp: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float, dense: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Positions of pairs of rows sorted by key that share one and may meet, and whether each row's key is dense: more rows have it.
+    Of a dense key's rows, pairs of neighbours in fingerprint only."""
+    starts = np.flatnonzero(np.concatenate(([True], el[1:] != el[:-1])))
+    many = np.diff(np.concatenate((starts, [len(el)])))
+    out = []
+    for m in np.unique(many[(many > 1) & (many <= dense)]).tolist():
+        x, y = np.triu_indices(m, 1)
+        at, step = starts[many == m], max(1, (BLOCK << 4) // len(x))
+        for k in range(0, len(at), step):
+            i, j = ((at[k : k + step, None] + z).ravel() for z in (x, y))
+            ok = may_meet(size, pos, i, j, similarity)
+            out.append((i[ok], j[ok]))
+    for a, m in zip(starts[many > dense].tolist(), many[many > dense].tolist()):
+        i, j = nearest_before(fp[a : a + m], size[a : a + m], pos[a : a + m], np.arange(m), similarity)
+        out.append((a + i, a + j))
+    return out, np.repeat(many > dense, many)
+
+
+def sharing(nodes: DataFrame, similarity: float) -> DataFrame:
+    """From nodes (node, fp, size, keys): pairs u < v that share a key and may meet, with the bits that their fingerprints are apart
+    and a null key; and the rows (v, fp, size, pos) of each dense key, of whose pairs only neighbours are there."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (nodes.agg(F.sum(F.length("keys"))).head()[0] or 0) // 8 // DEALT)
+    dense = DENSE
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def rows() -> list[np.ndarray]:
+            node, fp, size, many, keys = (np.concatenate(x) for x in zip(*held))
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)
+            return [keys, *[np.repeat(x, many) for x in (node, fp, size)], pos.astype("<u4")]
+
+        for b in sliced(batches):
+            lists = b.column(3).to_pylist()
+            many = np.array([len(x) // 8 for x in lists], np.int64)
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype("<u4"), many, np.frombuffer(b"".join(lists), "<u8")))
+            n += len(held[-1][4])
+            if n > DEALT:
+                yield from by_part(rows(), parts)
+                held, n = [], 0
+        if n:
+            yield from by_part(rows(), parts)
+
+    def meet(table: pa.Table) -> pa.Table:
+        el, node, fp, size, pos = (np.frombuffer(b"".join(table.column(f"c{k}").to_pylist()), t) for k, t in enumerate(("<u8", "<i8", "<u8", "<u4", "<u4")))
+        order = np.argsort(el, kind="stable")
+        same = el[order][1:] == el[order][:-1]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        order = order[np.lexsort((node[order], el[order]))]
+        el, node, fp, size, pos = el[order], node[order], fp[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+        pairs, crowd = run_pairs(el, fp, size, pos, similarity, dense) if len(el) else ([], np.zeros(0, bool))
+        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        i, j = (x[np.unique(np.stack((node[i], node[j])), axis=1, return_index=True)[1]] for x in (i, j)) if len(i) else (i, j)
+        none, n = np.zeros(len(i), np.int64), int(crowd.sum())
+        columns = {
+            "u": np.concatenate((node[i], np.full(n, -1))), "v": np.concatenate((node[j], node[crowd])), "apart": np.concatenate((np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64), np.zeros(n, np.int64))),
+            "fp": np.concatenate((none, fp[crowd].view(np.int64))), "size": np.concatenate((none, size[crowd])), "pos": np.concatenate((none, pos[crowd])),
+        }
+        keys = pa.array(np.concatenate((none, el[crowd].view(np.int64))), pa.int64(), mask=np.arange(len(i) + n) < len(i))
+        return pa.table({"el": keys, **{k: pa.array(x, pa.int64()) for k, x in columns.items()}})
+
+    dealt = nodes.select("node", "fp", "size", "keys").mapInArrow(deal, "part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
+    return dealt.groupBy("part").applyInArrow(meet, "el long, u long, v long, apart long, fp long, size long, pos long")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """u, v: pairs of nodes (node, fp, size, keys) whose texts (node, text) are similar, so many that they span the classes of all.
+
+    First each node is compared with the candidate nearest by fingerprint; then all candidates that are still of two classes, where a
+    key is dense only the nearest again; last all pairs of dense keys that are still of two classes."""
+    found = cut(sharing(nodes, similarity))
+    pairs = cut(found.where("el is null").select("u", "v", "apart").distinct())
+    crowd = found.where("el is not null").select("el", F.col("v").alias("node"), "fp", "size", "pos")
+    tested = cut(pairs.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v"))
+    links = cut(confirmed(tested, texts, similarity, shingle))
+    crowded = bool(crowd.head(1))
+
+    def parted(rows: DataFrame, roots: DataFrame, *ends: str) -> DataFrame:
+        for c in ends:
+            rows = rows.join(roots.toDF(c, f"root_{c}"), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        return rows
+
+    def nearest(table: pa.Table) -> pa.Table:
+        node, fp, size, pos, root = (table.column(c).to_numpy() for c in ("node", "fp", "size", "pos", "root_node"))
+        order = np.argsort(node)
+        i, j = nearest_before(fp[order].view(np.uint64), size[order], pos[order], root[order], similarity)
+        return pa.table({"u": pa.array(node[order][i], pa.int64()), "v": pa.array(node[order][j], pa.int64())})
+
+    for last in (False, True):
+        if last and not crowded:
+            break
+        roots = cut(connected(links))
+        if crowded:
+            rows = cut(parted(crowd, roots, "node"))
+            mixed = rows.groupBy("el").agg(F.min("root_node").alias("a"), F.max("root_node").alias("b")).where("a < b").select("el")
+            rows = cut(rows.join(mixed, "el", "left_semi"))
+        if last:
+            a, b = (rows.select("el", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "pos", "root_node")]) for k in "uv")
+            need = F.ceil((F.col("size_u") + F.col("size_v")) * (similarity / (1 + similarity)) - 1e-6)
+            rest = F.least(F.col("size_u") - F.col("pos_u"), F.col("size_v") - F.col("pos_v"))
+            near = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity - 1e-6
+            new = a.join(b, (a["el"] == b["el"]) & F.expr("node_u < node_v and root_node_u <> root_node_v") & (rest >= need) & near).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+        else:
+            new = parted(pairs.select("u", "v"), roots, "u", "v").where("root_u <> root_v").select("u", "v")
+            if crowded:
+                new = new.unionByName(rows.groupBy("el").applyInArrow(nearest, "u long, v long"))
+        new = cut(new.distinct().join(tested, ["u", "v"], "left_anti"))
+        if new.head(1):
+            links = cut(links.unionByName(confirmed(new, texts, similarity, shingle)))
+            tested = tested.unionByName(new)
+    return links
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -268,6 +415,8 @@ def confirmed(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
             yield b.select(["u", "v"]).filter(pa.array([jaccard(x, y, shingle) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_()))
 
     ship_code(edges.sparkSession)
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    texts = cut(texts.join(ends, "node").select("node", "text"))
     pairs = edges.join(texts.toDF("u", "one"), "u").join(texts.toDF("v", "other"), "v").select("u", "v", "one", "other")
     return pairs.mapInArrow(run, "u long, v long")
 
@@ -355,39 +504,42 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return own.unionByName(one_row(judged.drop(least, n), fp, text_col))
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = WIDE) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """docs with exactly one row of each class of similar texts: that with the smallest id, a null id last, then the longest text.
     All columns as they were.
 
-    Two texts are linked if their shingles (lower-cased A-Z) have at least that Jaccard similarity, and classes are what links
-    reach. Candidates are pairs of fingerprints within the radius; their sketches choose a spanning forest of the likely links, and
-    each of its links is confirmed on the texts, so no two texts are linked that aren't similar. Null and empty texts, and those of
-    white space, are alike. Texts that share an id, and rows without one, are judged each; rows that repeat in all columns leave one.
-    An empty table stays empty. Comparison is quadratic in distinct texts."""
-    fp, sketch, row = fresh(docs, "fp", "sketch", "row")
+    Two texts are linked if their shingles (lower-cased A-Z) have at least that Jaccard similarity (over 0), and classes are what
+    links reach. No link is lost: shingles are put in one order, rare ones first as far as a sample tells, and two similar texts share
+    one of their first; those that do are candidates, nearest fingerprints first, confirmed on the texts unless they are of one class
+    already. Null and empty texts, and those of white space, are alike. Texts that share an id, and rows without one, are judged each;
+    rows that repeat in all columns leave one. An empty table stays empty. Work grows with the texts and the pairs that share a rare
+    shingle; it is quadratic only in texts of different classes that share one of their rarest fifth."""
+    fp, size, digest, keys, row = fresh(docs, "fp", "size", "digest", "keys", "row")
     at = docs.columns.index(text_col)
+    ship_code(docs.sparkSession)
+    common = common_keys(docs, text_col, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = low_bits(common)  # once a task: there may be a million
         for b in sliced(batches):
-            made = [profile(t.as_py(), shingle) for t in b.column(at)]
-            fps = np.array([x for x, _ in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64()), pa.array([x for _, x in made], pa.binary())], [*b.schema.names, fp, sketch])
+            fps, sizes, digests, first = zip(*[first_keys(t.as_py(), common, lows, similarity, shingle) for t in b.column(at)])
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, fp, size, digest, keys])
 
-    ship_code(docs.sparkSession)
-    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType()), StructField(sketch, BinaryType())]))
+    more = [StructField(fp, LongType()), StructField(size, LongType()), StructField(digest, BinaryType()), StructField(keys, BinaryType())]
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
     marked = cut(marked.withColumn(row, F.monotonically_increasing_id()))
-    ident, size = F.col(f"`{id_col}`"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = marked.select(F.concat(F.unhex(F.lpad(F.hex(fp), 16, "0")), sketch).alias("profile"), F.col(fp).alias("fp"), F.col(sketch).alias("sketch"), F.struct(ident.isNull().alias("no_id"), ident.alias("id"), (-size).alias("less"), F.col(row).alias("row")).alias("best"))
-    nodes = rows.groupBy("profile").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    edges = cut(similar_links(nodes, radius, max(0.0, similarity - SLACK)).distinct())
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(nodes.select("node", "best.row"), "node")
-    texts = cut(marked.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")).join(ends, "row").select("node", "text"))
-    roots = connected(cut(confirmed(edges, texts, similarity, shingle)))
-    linked = cut(nodes.select("node", "profile", "best", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    sums = cut(linked.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("many")).where("rows > 1"))
-    classes = cut(join_classes(linked.select("root", "profile", "n"), sums.select("root", F.col("first.row").alias("stays"), "many"), "root", "many", linked.count(), "inner"))
     total = marked.count()
-    judged = join_classes(rows.select("profile", "best.row"), classes.select("profile", "n", "stays"), "profile", "n", total, "inner")
+    ident, length = F.col(f"`{id_col}`"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    rows = marked.select(F.col(digest).alias("digest"), F.struct(ident.isNull().alias("no_id"), ident.alias("id"), (-length).alias("less"), F.col(row).alias("row")).alias("best"))
+    sets = cut(rows.groupBy("digest").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n")))
+    again = sets.where("n > 1").select("digest", "n", F.col("best.row").alias("node"))
+    again = cut(join_classes(rows.select("digest", "best.row"), again, "digest", "n", total, "inner").where("row <> node").select("row"))
+    nodes = without(marked.select(F.col(row).alias("node"), F.col(fp).alias("fp"), F.col(size).alias("size"), F.col(keys).alias("keys")), "node", again).where("size > 0")
+    roots = connected(similar_links(nodes, marked.select(F.col(row).alias("node"), F.col(f"`{text_col}`").alias("text")), similarity, shingle))
+    linked = cut(sets.withColumn("node", F.col("best.row")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sums = cut(linked.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("many")).where("rows > 1"))
+    classes = cut(join_classes(linked.select("root", "digest", "n"), sums.select("root", F.col("first.row").alias("stays"), "many"), "root", "many", linked.count(), "inner"))
+    judged = join_classes(rows.select("digest", "best.row"), classes.select("digest", "n", "stays"), "digest", "n", total, "inner")
     out = without(marked, row, cut(judged.where("row <> stays").select("row")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -227,6 +227,23 @@ def test_drop_similar_by_row(make_docs):
     assert simhash.drop_similar(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dense", [32, 3])
+def test_drop_similar_loses_no_link(monkeypatch, make_docs, dense):
+    """Exactly the classes of brute force: at the least similarity, with fingerprints far apart, and where many texts share keys."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = similar_rows()
+    for _ in range(200):
+        base = [rnd.choice(words) for _ in range(13)]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    line = [rnd.choice(words) for _ in range(40)]
+    texts += [" ".join([*line, *(rnd.choice(words) for _ in range(rnd.choice([3, 5, 9])))]) for _ in range(80)]
+    far = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() for a, b in zip(texts[-480:-80:2], texts[-479:-80:2])]
+    assert max(far) > 16
+    assert sorted(r.doc_id for r in simhash.drop_similar(make_docs(texts)).collect()) == sorted(set(brute_similar(texts)[0]))
+
+
 def test_sketch_estimates_similarity():
     texts = similar_rows()[:360]
     made = [simhash.profile(t) for t in texts]
