@@ -6,7 +6,8 @@ counts of the four 16-bit quarters, skips sub-tiles. What is left is compared by
 A pair of tiles gives a spanning forest of its links, not the links: the classes are the same.
 
 drop_similar() finds every pair of texts with a Jaccard similarity: two such sets of shingles, put in one order, share one of their
-first few. Fingerprints choose which of these candidates is compared first; all that could still join two classes are compared."""
+first few. Fingerprints choose which of these candidates is compared first; all that could still join two classes are compared, unless
+parities of their shingles' hashes prove that they share too few: only texts of pairs that are very likely similar are moved."""
 
 from __future__ import annotations
 
@@ -32,6 +33,8 @@ KEY_BITS, SAMPLE_LEAST, SAMPLE_MOST, COMMON = 56, 10_000, 40_000, 1_000_000
 #: Shingles that a task deals out at once, and about as many that meet in a part; texts that share a key before they count as dense,
 #: and how many before it a text of those is compared with by fingerprint.
 DEALT, DENSE, WINDOW = 1 << 20, 32, 4096
+#: Least and most parities that stand for a text; in between, the power of two from twice its shingles.
+PARITIES_LEAST, PARITIES_MOST = 64, 1 << 16
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
 TILE_LEAST, TILE_MOST, TILES = 2048, 262_144, 48
 #: Comparisons made at once in numpy, and shingles whose bits are counted at once.
@@ -199,6 +202,39 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some > 0, (agree * VALUES - 1) / (VALUES - 1), 1.0)
 
 
+def shingle_codes(text: str | None, shingle: int) -> np.ndarray:
+    """A 64-bit hash of each shingle of a whole text, repeats included, made of its words' hashes: for drop_similar(), which is free
+    in how it hashes and reads most shingles of a table."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    codes = np.full(len(words) - k + 1, k, np.uint64)
+    for at in range(k):
+        codes ^= own[at : at + len(codes)]
+        codes *= np.uint64(0x9E3779B97F4A7C15)
+        codes ^= codes >> np.uint64(29)
+    codes *= np.uint64(0xBF58476D1CE4E5B9)
+    return codes ^ codes >> np.uint64(32)
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of distinct hashes by a power of two: whether an odd number of them has it."""
+    size = min(PARITIES_MOST, max(PARITIES_LEAST, 1 << (2 * len(hashes) - 1).bit_length()))
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """At least how many hashes only one of two sets has, by their parities: each changes one of them."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while n > 8 * len(a):
+        n //= 2
+        y = (y & ((1 << n) - 1)) ^ (y >> n)
+    return (x ^ y).bit_count()
+
+
 def least_common(x, y, similarity: float):
     """How many shingles two sets of these sizes share at least if they have that Jaccard similarity."""
     return np.ceil((np.asarray(x, np.float64) + y) * (similarity / (1 + similarity)) - 1e-6)
@@ -224,14 +260,15 @@ def ordered(hashes: np.ndarray, common: np.ndarray, lows: np.ndarray) -> np.ndar
     return np.sort(np.where(lows[at] == low, common[at], low))
 
 
-def first_keys(text: str | None, common: np.ndarray, lows: np.ndarray, similarity: float, shingle: int) -> tuple[int, int, bytes, bytes]:
-    """Of a whole text: fingerprint, number of distinct shingles, a digest of their set, and the least keys: so many that any
-    similar set has one of them among its own."""
-    chunks = list(shingle_hashes(text, shingle))
-    hashes = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
+def first_keys(text: str | None, common: np.ndarray, lows: np.ndarray, similarity: float, shingle: int) -> tuple[int, int, bytes, bytes, bytes]:
+    """Of a whole text: fingerprint, number of distinct shingles, a digest of their set, the least keys: so many that any similar set
+    has one of them among its own, and the set's parities."""
+    codes = shingle_codes(text, shingle)
+    hashes = np.unique(codes)
     n = len(hashes)
     keys = ordered(hashes, common, lows)[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
-    return _majority(chunks), n, xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()), keys.astype("<u8").tobytes()
+    fp = _majority(codes[k : k + CHUNK] for k in range(0, len(codes), CHUNK))
+    return fp, n, xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()), keys.astype("<u8").tobytes(), parities(hashes)
 
 
 def by_part(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
@@ -258,9 +295,8 @@ def common_keys(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
         held, n = [], 0
         for b in sliced(batches):
             for t in b.column(0):
-                chunks = list(shingle_hashes(t.as_py(), shingle))
-                held += [np.unique(np.concatenate(chunks))] if chunks else []
-                n += len(held[-1]) if chunks else 0
+                held.append(np.unique(shingle_codes(t.as_py(), shingle)))
+                n += len(held[-1])
             if n > DEALT:
                 yield from by_part([np.concatenate(held)], parts)
                 held, n = [], 0
@@ -360,12 +396,13 @@ def sharing(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """u, v: pairs of nodes (node, fp, size, keys) whose texts (node, text) are similar, so many that they span the classes of all.
+    """u, v: pairs of nodes (node, fp, size, keys) whose texts (node, size, parities, text) are similar, so many that they span the
+    classes of all.
 
-    First each node is compared with the candidate nearest by fingerprint; then all candidates that are still of two classes, where a
+    Only pairs that parities leave are candidates. First each node is compared with the candidate nearest by fingerprint; then all candidates that are still of two classes, where a
     key is dense only the nearest again; last all pairs of dense keys that are still of two classes."""
     found = cut(sharing(nodes, similarity))
-    pairs = cut(found.where("el is null").select("u", "v", "apart").distinct())
+    pairs = cut(plausible(found.where("el is null").select("u", "v", "apart").distinct(), texts, similarity))
     crowd = found.where("el is not null").select("el", F.col("v").alias("node"), "fp", "size", "pos")
     tested = cut(pairs.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v"))
     links = cut(confirmed(tested, texts, similarity, shingle))
@@ -399,24 +436,45 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
         else:
             new = parted(pairs.select("u", "v"), roots, "u", "v").where("root_u <> root_v").select("u", "v")
             if crowded:
-                new = new.unionByName(rows.groupBy("el").applyInArrow(nearest, "u long, v long"))
-        new = cut(new.distinct().join(tested, ["u", "v"], "left_anti"))
+                near = rows.groupBy("el").applyInArrow(nearest, "u long, v long").distinct()
+                new = new.unionByName(plausible(near, texts, similarity))
+        new = new.distinct().join(tested, ["u", "v"], "left_anti")
+        new = cut(plausible(new, texts, similarity) if last else new)
         if new.head(1):
             links = cut(links.unionByName(confirmed(new, texts, similarity, shingle)))
             tested = tested.unionByName(new)
     return links
 
 
+def plausible(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v and more) but for those whose texts (node, size, parities) cannot have that Jaccard similarity, by parities."""
+    names = edges.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 4096):
+            x, y, p, q = (b.column(k).to_pylist() for k in ("size_u", "size_v", "parities_u", "parities_v"))
+            apart = np.fromiter(map(least_apart, p, q), np.float64, b.num_rows)
+            x, y = np.array(x, np.float64), np.array(y, np.float64)
+            yield b.select(names).filter(pa.array((x + y - apart) / 2 >= least_common(x, y, similarity)))
+
+    ship_code(edges.sparkSession)
+    rows = edges
+    for c in "uv":
+        rows = rows.join(texts.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("parities").alias(f"parities_{c}")), c)
+    return rows.mapInArrow(run, edges.schema)
+
+
 def confirmed(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """The edges (u, v) whose texts (node, text) have at least that Jaccard similarity."""
+    """The edges (u, v) whose texts (node, text) have at least that Jaccard similarity. Of all texts those of an end are picked where
+    they are, unless there are over BROADCAST_ROWS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             yield b.select(["u", "v"]).filter(pa.array([jaccard(x, y, shingle) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_()))
 
     ship_code(edges.sparkSession)
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    texts = cut(texts.join(ends, "node").select("node", "text"))
+    ends = cut(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct())
+    texts = cut(texts.select("node", "text").join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "node"))
     pairs = edges.join(texts.toDF("u", "one"), "u").join(texts.toDF("v", "other"), "v").select("u", "v", "one", "other")
     return pairs.mapInArrow(run, "u long, v long")
 
@@ -510,11 +568,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two texts are linked if their shingles (lower-cased A-Z) have at least that Jaccard similarity (over 0), and classes are what
     links reach. No link is lost: shingles are put in one order, rare ones first as far as a sample tells, and two similar texts share
-    one of their first; those that do are candidates, nearest fingerprints first, confirmed on the texts unless they are of one class
-    already. Null and empty texts, and those of white space, are alike. Texts that share an id, and rows without one, are judged each;
+    one of their first; those that do are candidates unless parities rule them out, nearest fingerprints first, confirmed on the texts
+    unless they are of one class already. Null and empty texts, and those of white space, are alike. Texts that share an id, and rows without one, are judged each;
     rows that repeat in all columns leave one. An empty table stays empty. Work grows with the texts and the pairs that share a rare
     shingle; it is quadratic only in texts of different classes that share one of their rarest fifth."""
-    fp, size, digest, keys, row = fresh(docs, "fp", "size", "digest", "keys", "row")
+    fp, size, digest, keys, odd, row = fresh(docs, "fp", "size", "digest", "keys", "parities", "row")
     at = docs.columns.index(text_col)
     ship_code(docs.sparkSession)
     common = common_keys(docs, text_col, shingle)
@@ -522,11 +580,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows = low_bits(common)  # once a task: there may be a million
         for b in sliced(batches):
-            fps, sizes, digests, first = zip(*[first_keys(t.as_py(), common, lows, similarity, shingle) for t in b.column(at)])
-            made = [pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, fp, size, digest, keys])
+            fps, sizes, digests, first, odds = zip(*[first_keys(t.as_py(), common, lows, similarity, shingle) for t in b.column(at)])
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.binary()), pa.array(odds, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, fp, size, digest, keys, odd])
 
-    more = [StructField(fp, LongType()), StructField(size, LongType()), StructField(digest, BinaryType()), StructField(keys, BinaryType())]
+    more = [StructField(fp, LongType()), StructField(size, LongType()), StructField(digest, BinaryType()), StructField(keys, BinaryType()), StructField(odd, BinaryType())]
     marked = docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
     marked = cut(marked.withColumn(row, F.monotonically_increasing_id()))
     total = marked.count()
@@ -536,7 +594,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = sets.where("n > 1").select("digest", "n", F.col("best.row").alias("node"))
     again = cut(join_classes(rows.select("digest", "best.row"), again, "digest", "n", total, "inner").where("row <> node").select("row"))
     nodes = without(marked.select(F.col(row).alias("node"), F.col(fp).alias("fp"), F.col(size).alias("size"), F.col(keys).alias("keys")), "node", again).where("size > 0")
-    roots = connected(similar_links(nodes, marked.select(F.col(row).alias("node"), F.col(f"`{text_col}`").alias("text")), similarity, shingle))
+    texts = marked.select(F.col(row).alias("node"), F.col(size).alias("size"), F.col(odd).alias("parities"), F.col(f"`{text_col}`").alias("text"))
+    roots = connected(similar_links(nodes, texts, similarity, shingle))
     linked = cut(sets.withColumn("node", F.col("best.row")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sums = cut(linked.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("many")).where("rows > 1"))
     classes = cut(join_classes(linked.select("root", "digest", "n"), sums.select("root", F.col("first.row").alias("stays"), "many"), "root", "many", linked.count(), "inner"))

@@ -252,3 +252,26 @@ def test_sketch_estimates_similarity():
     i, j = np.triu_indices(len(texts), 1)
     off = [abs(e - simhash.jaccard(texts[a], texts[b])) for a, b, e in zip(i, j, simhash.sketch_similarity(sketches[i], sketches[j])) if a // 6 == b // 6]
     assert np.mean(off) < 0.03 and np.quantile(off, 0.99) < 0.1
+
+
+def test_only_plausible_pairs_move_texts(monkeypatch, make_docs):
+    """Texts that share a rare passage but too few shingles are candidates by keys; parities rule them out before texts are moved."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(100_000)]
+    texts = [" ".join(rnd.choices(words, k=60)) for _ in range(60)]
+    texts += [f"{t} {' '.join(rnd.choices(words, k=25))}" for t in texts]
+    seen, confirmed = [], simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda edges, *a: (seen.append(edges.count()), confirmed(edges, *a))[1])
+    texts += [f"{t} last" for t in texts[:10]]
+    assert simhash.drop_similar(make_docs(texts)).count() == 120
+    assert 10 <= sum(seen) <= 15
+
+
+def test_parities_bound_what_is_apart():
+    rnd = np.random.default_rng(3)
+    for n, own in [(0, 0), (1, 0), (1, 1), (40, 9), (500, 60), (500, 400), (3000, 90), (60_000, 20_000)]:
+        pool = np.unique(rnd.integers(0, 1 << 64, 2 * n + own, np.uint64))
+        a, b = pool[:n], np.concatenate((pool[: n - n // 3], pool[n : n + own]))
+        bound, apart = simhash.least_apart(simhash.parities(a), simhash.parities(b)), len(np.setxor1d(a, b))
+        assert bound <= apart and simhash.least_apart(simhash.parities(b), simhash.parities(a)) == bound
+        assert n > 1000 or bound >= 0.4 * apart
