@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -64,13 +66,37 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(1)
+def _libc() -> ctypes.CDLL | None:
+    """The C library where it is glibc, told to give every block of over a megabyte back as soon as it is freed."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+        libc.malloc_trim  # noqa: B018
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def trimmed() -> None:
+    """Gives what this process has freed back to the system: a worker that waits for its next task, of whichever operator, shares its
+    machine with the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of so many rows, and of so many bytes where a row is no larger, of the batches that a worker gets: what a task holds
-    does not hang on the session's Arrow settings, which nothing here changes."""
+    does not hang on the session's Arrow settings, which nothing here changes. Each batch and its results are given back before the
+    next is read."""
+    trimmed()
     for b in batches:
         step = max(1, min(rows, b.num_rows * most // max(1, b.nbytes)))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+        b = None
+        trimmed()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

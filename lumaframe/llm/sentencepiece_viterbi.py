@@ -28,7 +28,7 @@ BASE, LENGTH_KEY = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1) << 40
 #: Words longer than LONG advance alone; words kept in a worker's cache; words that advance together at most; positions of
 #: a long word that are probed at once; bytes of text whose words are met together.
-LONG, CACHE, TOGETHER, POSITIONS, TOGETHER_BYTES = 400, 200_000, 8192, 4096, 4 << 20
+LONG, CACHE, TOGETHER, POSITIONS, TOGETHER_BYTES = 400, 50_000, 8192, 4096, 1 << 20
 #: What the score of a character that is no piece lies under the least of a model of unigrams. Fixed value.
 UNKNOWN_PENALTY = 10.0
 #: Sizes of the filter before the sorted keys, and of the table of seams between two pieces.
@@ -278,17 +278,17 @@ class Pieces:
 
 
 class Codec:
-    """Encodes and decodes whole texts; words that were met are kept, up to CACHE of them."""
+    """Encodes and decodes whole texts; words that were met are kept, up to CACHE of them and those of the last texts."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.known: dict[str, bytes] = pieces.__dict__.setdefault("known", {})  # a worker keeps it from task to task
+        self.known: dict[str, bytes] = {}  # as long as a task: a worker that waits keeps no words
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         met = set(chain.from_iterable(units))
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) + len(met) > CACHE:
+            self.known = {w: self.known[w] for w in met & self.known.keys()}
         self.known |= self.pieces.encode_words(list(met - self.known.keys()))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, u)), np.int32) for u in units]
@@ -372,7 +372,7 @@ def load(path: str = MODEL) -> Pieces:
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches joined until their bytes exceed TOGETHER_BYTES: the more words are new at once, the longer numpy's arrays."""
     some: list[pa.RecordBatch] = []
-    for b in sliced(batches):
+    for b in sliced(batches, most=TOGETHER_BYTES):
         some.append(b)
         if sum(x.nbytes for x in some) > TOGETHER_BYTES:
             yield pa.concat_batches(some)

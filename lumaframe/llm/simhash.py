@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, cut, fresh, join_classes, one_row, ship_code, sliced, without
+from .common import BROADCAST_ROWS, cut, fresh, join_classes, one_row, ship_code, sliced, trimmed, without
 
 RADIUS, SHINGLE = 4, 4
 #: drop_similar(): words of a shingle, and least Jaccard similarity.
@@ -302,6 +302,8 @@ def common_keys(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
                 held, n = [], 0
         if n:
             yield from by_part([np.concatenate(held)], parts)
+        held = []
+        trimmed()
 
     def repeated(table: pa.Table) -> pa.Table:
         low = low_bits(np.frombuffer(b"".join(table.column("c0").to_pylist()), "<u8"))
@@ -372,8 +374,11 @@ def sharing(nodes: DataFrame, similarity: float) -> DataFrame:
                 held, n = [], 0
         if n:
             yield from by_part(rows(), parts)
+        held = []
+        trimmed()
 
     def meet(table: pa.Table) -> pa.Table:
+        trimmed()  # the part before
         el, node, fp, size, pos = (np.frombuffer(b"".join(table.column(f"c{k}").to_pylist()), t) for k, t in enumerate(("<u8", "<i8", "<u8", "<u4", "<u4")))
         order = np.argsort(el, kind="stable")
         same = el[order][1:] == el[order][:-1]

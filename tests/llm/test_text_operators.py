@@ -389,3 +389,17 @@ def test_encode_and_decode_tables(make_docs):
     back = {r.doc_id: r.text for r in sentencepiece_viterbi.decode(out).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(EDGE))
     assert sentencepiece_viterbi.encode(docs.where("false")).count() == 0
+
+
+def test_worker_keeps_few_words(monkeypatch):
+    """Words that were met are bounded with the new ones, and gone with their task: the model, which a worker keeps, holds none."""
+    monkeypatch.setattr(sentencepiece_viterbi, "CACHE", 100)
+    pieces = sentencepiece_viterbi.load()
+    codec = sentencepiece_viterbi.Codec(pieces)
+    for k in range(8):
+        texts = [" ".join(f"word{i}" for i in range(40 * k, 40 * k + 70)), "again and again"]
+        got = codec.encode(texts)
+        assert [codec.decode(x) for x in got] == texts
+        assert [x.tolist() for x in got] == [x.tolist() for x in sentencepiece_viterbi.Codec(pieces).encode(texts)]
+        assert len(codec.known) <= 100
+    assert "known" not in vars(pieces)
