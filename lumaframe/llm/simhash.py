@@ -35,6 +35,8 @@ KEY_BITS, SAMPLE_LEAST, SAMPLE_MOST, COMMON = 56, 10_000, 40_000, 1_000_000
 DEALT, DENSE, WINDOW = 1 << 20, 32, 4096
 #: Least and most parities that stand for a text; in between, the power of two from twice its shingles.
 PARITIES_LEAST, PARITIES_MOST = 64, 1 << 16
+#: Least and most rows of a dense key's tile, and about as many bytes of parities and texts as it holds at most.
+DENSE_LEAST, DENSE_MOST, DENSE_BYTES = 512, 16_384, 8 << 20
 #: Least and most fingerprints of a tile, and how many tiles are aimed at between the two.
 TILE_LEAST, TILE_MOST, TILES = 2048, 262_144, 48
 #: Comparisons made at once in numpy, and shingles whose bits are counted at once.
@@ -404,8 +406,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
     """u, v: pairs of nodes (node, fp, size, keys) whose texts (node, size, parities, text) are similar, so many that they span the
     classes of all.
 
-    Only pairs that parities leave are candidates. First each node is compared with the candidate nearest by fingerprint; then all candidates that are still of two classes, where a
-    key is dense only the nearest again; last all pairs of dense keys that are still of two classes."""
+    Only pairs that parities leave are candidates. First each node is compared with the candidate nearest by fingerprint; then all
+    candidates that are still of two classes, where a key is dense only the nearest again; last all pairs of dense keys that are
+    still of two classes, in tiles: no table has a row for each of those."""
     found = cut(sharing(nodes, similarity))
     pairs = cut(plausible(found.where("el is null").select("u", "v", "apart").distinct(), texts, similarity))
     crowd = found.where("el is not null").select("el", F.col("v").alias("node"), "fp", "size", "pos")
@@ -424,31 +427,124 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
         i, j = nearest_before(fp[order].view(np.uint64), size[order], pos[order], root[order], similarity)
         return pa.table({"u": pa.array(node[order][i], pa.int64()), "v": pa.array(node[order][j], pa.int64())})
 
-    for last in (False, True):
-        if last and not crowded:
-            break
-        roots = cut(connected(links))
-        if crowded:
-            rows = cut(parted(crowd, roots, "node"))
-            mixed = rows.groupBy("el").agg(F.min("root_node").alias("a"), F.max("root_node").alias("b")).where("a < b").select("el")
-            rows = cut(rows.join(mixed, "el", "left_semi"))
-        if last:
-            a, b = (rows.select("el", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "pos", "root_node")]) for k in "uv")
-            need = F.ceil((F.col("size_u") + F.col("size_v")) * (similarity / (1 + similarity)) - 1e-6)
-            rest = F.least(F.col("size_u") - F.col("pos_u"), F.col("size_v") - F.col("pos_v"))
-            near = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity - 1e-6
-            new = a.join(b, (a["el"] == b["el"]) & F.expr("node_u < node_v and root_node_u <> root_node_v") & (rest >= need) & near).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
-        else:
-            new = parted(pairs.select("u", "v"), roots, "u", "v").where("root_u <> root_v").select("u", "v")
-            if crowded:
-                near = rows.groupBy("el").applyInArrow(nearest, "u long, v long").distinct()
-                new = new.unionByName(plausible(near, texts, similarity))
-        new = new.distinct().join(tested, ["u", "v"], "left_anti")
-        new = cut(plausible(new, texts, similarity) if last else new)
-        if new.head(1):
-            links = cut(links.unionByName(confirmed(new, texts, similarity, shingle)))
-            tested = tested.unionByName(new)
-    return links
+    def unsettled(roots: DataFrame) -> DataFrame:
+        rows = cut(parted(crowd, roots, "node"))
+        mixed = rows.groupBy("el").agg(F.min("root_node").alias("a"), F.max("root_node").alias("b")).where("a < b").select("el")
+        return cut(rows.join(mixed, "el", "left_semi"))
+
+    roots = cut(connected(links))
+    new = parted(pairs.select("u", "v"), roots, "u", "v").where("root_u <> root_v").select("u", "v")
+    if crowded:
+        near = unsettled(roots).groupBy("el").applyInArrow(nearest, "u long, v long").distinct()
+        new = new.unionByName(plausible(near, texts, similarity))
+    new = cut(new.distinct().join(tested, ["u", "v"], "left_anti"))
+    if new.head(1):
+        links = cut(links.unionByName(confirmed(new, texts, similarity, shingle)))
+    if not crowded:
+        return links
+    return cut(links.unionByName(dense_links(unsettled(cut(connected(links))), texts, similarity, shingle)))
+
+
+def folded(odds: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities (64 a word) as those of fewer remainders, so many words a row."""
+    while odds.shape[1] > words:
+        odds = odds[:, : odds.shape[1] // 2] ^ odds[:, odds.shape[1] // 2 :]
+    return odds
+
+
+def open_pairs(size: np.ndarray, pos: np.ndarray, root: np.ndarray, odds: list[bytes], first: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows that share a key, array by array: positions of pairs of two classes that may meet and that their parities leave, those
+    least apart first; one of the first so many rows with one of the others, or any two rows if that is 0."""
+    n, words = len(size), np.fromiter(map(len, odds), np.int64, len(odds)) // 8
+    at, rows = np.zeros(n, np.int64), {}
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        at[own], rows[w] = np.arange(len(own)), np.frombuffer(b"".join(odds[k] for k in own.tolist()), "<u8").reshape(-1, w)
+    j = np.arange(first, n)
+    step = max(1, (BLOCK << 2) // max(1, len(j)))
+    for k in range(0, first or n, step):
+        i = np.arange(k, min(first or n, k + step))
+        meet = (i[:, None] < j[None, :]) & (root[i, None] != root[None, j]) & may_meet(size, pos, i[:, None], j[None, :], similarity)
+        x, y = np.nonzero(meet)
+        x, y = i[x], j[y]
+        lengths = words[x] << 32 | words[y]
+        for both in np.unique(lengths).tolist():
+            own, v, w = np.flatnonzero(lengths == both), both >> 32, both & 0xFFFFFFFF
+            a, b = folded(rows[v], min(v, w)), folded(rows[w], min(v, w))
+            for c in range(0, len(own), part := max(1, (BLOCK << 4) // min(v, w))):
+                p, q = x[own[c : c + part]], y[own[c : c + part]]
+                apart = np.bitwise_count(a[at[p]] ^ b[at[q]]).sum(1, dtype=np.int64)
+                ok = np.flatnonzero((size[p] + size[q] - apart) / 2 >= least_common(size[p], size[q], similarity))
+                if len(ok := ok[np.argsort(apart[ok], kind="stable")]):
+                    yield p[ok], q[ok]
+
+
+def dense_tiles(rows: DataFrame) -> DataFrame:
+    """rows (el, node, size, pos, root_node, parities and maybe text) in tiles of a key, dealt by (el, a, b), the tiles that meet: a row
+    as often as its key has tiles. Tiles have DENSE_LEAST to DENSE_MOST rows, fewer where they would hold more than DENSE_BYTES."""
+    rows = cut(rows)
+    held = sum((F.length(c) for c in ("parities", "text") if c in rows.columns), F.lit(48))
+    sums = rows.groupBy("el").agg(F.count(F.lit(1)).alias("many"), F.sum(held).alias("held"))
+    tile = F.least(F.lit(DENSE_MOST), F.greatest(F.lit(DENSE_LEAST), F.ceil(F.col("many") / TILES)))
+    sums = cut(sums.select("el", "many", F.greatest(F.ceil(F.col("many") / tile), F.ceil(F.col("held") / DENSE_BYTES)).cast("int").alias("tiles")))
+    total, pairs = sums.agg(F.sum("many"), F.sum(F.expr("tiles * (tiles + 1L) div 2"))).head()
+    dealt = join_classes(rows, sums, "el", "many", total or 0, "inner").withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).drop("many", "tiles")
+    dealt = dealt.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other")).drop("other")
+    return dealt.repartition(max(1, min(20_000, pairs or 0)), "el", "a", "b")
+
+
+def dense_links(rows: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """u, v: pairs of similar texts (node, size, parities, text) that share a dense key (rows: el, node, size, pos, root_node) and are of
+    two classes; so many that with the classes they span those of all.
+
+    Pairs are compared where the rows of two tiles meet, and are no rows: first by parities, which leaves the rows that could still
+    be linked, then those on their texts, where tiles give a spanning forest of their links."""
+
+    def sides(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], int]:
+        tile = table.column("tile").to_numpy()
+        order = np.lexsort((table.column("node").to_numpy(), tile))
+        tile, columns = tile[order], [table.column(c).to_numpy()[order] for c in ("node", "size", "pos", "root_node")]
+        return order, columns, int(np.count_nonzero(tile == tile[0])) % len(tile)
+
+    def active(table: pa.Table) -> pa.Table:
+        trimmed()
+        order, (node, size, pos, root), first = sides(table)
+        odds, some = table.column("parities").take(order).to_pylist(), np.zeros(len(node), bool)
+        if table.column("a")[0] == table.column("b")[0] or first:
+            for i, j in open_pairs(size, pos, root, odds, first, similarity):
+                some[i] = some[j] = True
+        return pa.table({"el": table.column("el")[: int(some.sum())], "node": pa.array(node[some], pa.int64())})
+
+    def forest(table: pa.Table) -> pa.Table:
+        trimmed()
+        order, (node, size, pos, root), first = sides(table)
+        odds, said = (table.column(c).take(order).to_pylist() for c in ("parities", "text"))
+        classes, codes, out = Forest(len(np.unique(root))), {}, []
+        at = np.unique(root, return_inverse=True)[1]
+        if table.column("a")[0] == table.column("b")[0] or first:
+            for i, j in open_pairs(size, pos, root, odds, first, similarity):
+                two = classes.label[at[i]] != classes.label[at[j]]
+                for x, y in zip(i[two].tolist(), j[two].tolist()):
+                    if classes.label[at[x]] == classes.label[at[y]]:
+                        continue
+                    for k in (x, y):
+                        if k not in codes:
+                            codes[k] = np.unique(shingle_codes(said[k], shingle))
+                    both = len(np.intersect1d(codes[x], codes[y], assume_unique=True))
+                    if both >= least_common(size[x], size[y], similarity) and jaccard(said[x], said[y], shingle) >= similarity:
+                        classes.link(at[[x]], at[[y]])
+                        out.append((x, y))
+        u, v = (node[[p[k] for p in out]] if out else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+    ship_code(rows.sparkSession)
+    rows = rows.select("el", "node", "size", "pos", "root_node").join(texts.select("node", "parities"), "node")
+    left = cut(dense_tiles(rows).groupBy("el", "a", "b").applyInArrow(active, "el long, node long").distinct())
+    ends = cut(left.select("node").distinct())
+    said = cut(texts.select("node", "text").join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "node"))
+    rows = rows.join(left, ["el", "node"]).join(said, "node")
+    return dense_tiles(rows).groupBy("el", "a", "b").applyInArrow(forest, "u long, v long").distinct()
 
 
 def plausible(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

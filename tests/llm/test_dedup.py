@@ -275,3 +275,43 @@ def test_parities_bound_what_is_apart():
         bound, apart = simhash.least_apart(simhash.parities(a), simhash.parities(b)), len(np.setxor1d(a, b))
         assert bound <= apart and simhash.least_apart(simhash.parities(b), simhash.parities(a)) == bound
         assert n > 1000 or bound >= 0.4 * apart
+
+
+@pytest.mark.parametrize("least, held", [(512, 8 << 20), (20, 8 << 20), (512, 20_000)])
+def test_pairs_of_a_dense_group_are_no_rows(monkeypatch, make_docs, least, held):
+    """A large group of near copies, many of them of no class: what is joined and moved does not grow with its square, whatever the
+    tiles, and no link is lost."""
+    monkeypatch.setattr(simhash, "DENSE_LEAST", least)
+    monkeypatch.setattr(simhash, "DENSE_BYTES", held)
+    rnd = random.Random(17)
+    words = [f"w{i}" for i in range(5000)]
+    base, texts = [rnd.choice(words) for _ in range(150)], []
+    for k in range(400):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 2, 2, 3, 5, 6])):
+            copy[at] = rnd.choice(words[:40])
+        texts.append(" ".join(copy[rnd.randrange(6) : 150 - rnd.randrange(6)]))
+    texts += [" ".join(copy[:n]) for n in (125, 128, 132, 136, 140)]
+    seen = []
+    for name in ("plausible", "confirmed"):
+        monkeypatch.setattr(simhash, name, lambda edges, *a, f=getattr(simhash, name): (seen.append(edges.count()), f(edges, *a))[1])
+    label, links = brute_similar(texts)
+    assert sorted(r.doc_id for r in simhash.drop_similar(make_docs(texts)).collect()) == sorted(set(label))
+    assert 20 < len(set(label)) < 300 and len(links) > 5 * len(texts) and sum(seen) < 8 * len(texts), (len(set(label)), len(links), seen)
+
+
+def test_open_pairs():
+    """All similar pairs of two classes, of texts whose parities differ in length too, within one tile and between two."""
+    rnd = np.random.default_rng(4)
+    pool = np.unique(rnd.integers(0, 1 << 64, 600, np.uint64))
+    sets = [np.setdiff1d(pool[: rnd.choice([30, 36, 60, 70, 500, 560])], rnd.choice(pool, rnd.choice([1, 20, 60]))) for _ in range(150)]
+    size, root, odds = np.array([len(s) for s in sets]), rnd.integers(0, 9, 150), [simhash.parities(s) for s in sets]
+    assert len({len(o) for o in odds}) > 3
+    similar = {(i, j) for i in range(150) for j in range(i + 1, 150) if root[i] != root[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    for first, block in ((0, simhash.BLOCK), (70, simhash.BLOCK), (0, 40), (70, 40)):
+        simhash.BLOCK, was = block, simhash.BLOCK
+        got = [(int(i), int(j)) for x, y in simhash.open_pairs(size, np.zeros(150, np.int64), root, odds, first, 0.8) for i, j in zip(x, y)]
+        simhash.BLOCK = was
+        wanted = {(i, j) for i, j in similar if not first or i < first <= j}
+        assert len(got) == len(set(got)) and wanted <= set(got) and all(root[i] != root[j] and i < j and (not first or i < first <= j) for i, j in got)
+        assert len(wanted) > 50 and len(got) < 3 * len(wanted)
